@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Hashed features; intact rows taken for training (ordered by a hash of the id), cuts made of each.
 FEATURES, TRAIN_ROWS, CUTS = 1 << 16, 6000, 2
-#: A last line's shape is a closing line if so large a share of all texts ends with it; a length is a limit at so large a share of its source.
-SHAPE_SHARE, LIMIT_SHARE, LEAST_SEEN = 0.001, 0.02, 4
+#: A last line's shape (or mere lead) is a closing line if so large a share of all texts ends with it; a length is a limit at so large a share of its source.
+SHAPE_SHARE, LEAD_SHARE, LIMIT_SHARE, LEAST_SEEN = 0.001, 0.003, 0.02, 4
 CUT_AT = 0.5
 
 # Marks that systems print behind a text.
@@ -67,7 +67,7 @@ def tail_of(text: str) -> Tail:
 
 
 def shapes(line: str) -> list[str]:
-    """Shapes of a short line: its first or last token verbatim, digits as 0, other words masked. Long lines have none."""
+    """Shapes of a short line: its lead, or its first or last token verbatim with digits as 0 and other words masked. Long lines have none."""
     line = line.strip()
     if not line or len(line) > 40 or _COMPLETE.search(line):
         return []
@@ -76,13 +76,14 @@ def shapes(line: str) -> list[str]:
     if len(tokens) < 2:
         return []
     whole = "".join("0" if m == "0" else t for t, m in zip(tokens, masked))
-    return list(dict.fromkeys([f"a:{tokens[0]}{''.join(masked[1:])}" if masked[0] != "0" else "", f"z:{''.join(masked[:-1])}{tokens[-1]}" if masked[-1] != "0" else "", f"w:{whole}"]))
+    lead = f"l:{tokens[0]}{tokens[1]}" if tokens[1] in "：:,，" and masked[0] != "0" else ""
+    return list(dict.fromkeys([lead, f"a:{tokens[0]}{''.join(masked[1:])}" if masked[0] != "0" else "", f"z:{''.join(masked[:-1])}{tokens[-1]}" if masked[-1] != "0" else "", f"w:{whole}"]))
 
 
 def entry_shape(line: str) -> str:
     """Shape of a list entry: its name masked, digits as 0, the rest verbatim; blank for lines that are no entry."""
     m = re.match(r"\s*[^：:\n]{1,24}[：:]\s*(?=[-<>]?\d)", line)
-    return "" if m is None else re.sub(r"\d+\.\d+", "0.0", line[m.end() :])
+    return "" if m is None or len(line) > m.end() + 24 else re.sub(r"\d+\.\d+", "0.0", line[m.end() :])
 
 
 def known_end(tail: Tail, text: str, closing: frozenset[str]) -> bool:
@@ -93,7 +94,7 @@ def known_end(tail: Tail, text: str, closing: frozenset[str]) -> bool:
     if _COMPLETE.search(body) or _AND_SO_ON.search(body):
         return True
     if entry := entry_shape(tail.line):
-        return any(entry == entry_shape(x) for x in tail.body.split("\n")[:-1][-60:])
+        return f"e:{entry}" in closing or any(entry == entry_shape(x) for x in tail.body.split("\n")[:-1])
     return bool(_COMPLETE.search(tail.before) or entry_shape(tail.before)) and any(s in closing for s in shapes(tail.line) if s)
 
 
@@ -108,7 +109,8 @@ def features(text: str, tail: Tail, closing: frozenset[str], limits: frozenset[i
         "bias", f"limit={at_limit}", f"ellipsis={tail.ellipsis}", f"complete={complete}", f"known={known}", f"open={opened > 0}",
         f"c1={body[-1:]}", f"c2={body[-2:]}", f"c3={body[-3:]}", f"s4={last[-4:]}", f"s4={last[-4:]}&limit={at_limit}",
         f"blank={tail.body != body}", f"short={len(tail.line) < 40}&known={known}", f"clause={min(8, len(re.split(r'[，,；;。.]', body)[-1]) // 3)}",
-        f"empty={not body}",
+        f"empty={not body}", f"known={known}&complete={complete}&limit={at_limit}", f"known={known}&c1={body[-1:]}", f"words={re.sub(r'[0-9]+', '0', ' '.join(body[-40:].split()[-2:])) if body[-1:].isascii() else ''}", f"point={bool(re.search(r'[0-9][.]$', body))}&limit={at_limit}",
+        f"script={bool(re.search(r'[一-鿿]', body[-30:]))}&point={body[-1:] == '.'}",
     ]
     return [zlib.crc32(n.encode()) % FEATURES for n in names]
 
@@ -165,13 +167,15 @@ def fit(docs: DataFrame) -> Model:
                 out.extend((source, "l", str(n)) for n in {len(text), len(tail.body), len(text.rstrip())})
                 if not tail.ellipsis and (_COMPLETE.search(tail.before) or entry_shape(tail.before)):
                     out.extend(("", "s", s) for s in shapes(tail.line) if s)
+                # a line with another behind it is whole, so its entry shape is that of a complete entry
+                out.extend(("", "s", f"e:{s}") for s in {entry_shape(x) for x in tail.body.split("\n")[:-1]} if s)
             yield pd.DataFrame(out, columns=["source", "kind", "value"]).value_counts().reset_index(name="n")
 
     counts = texts.mapInPandas(ends, "source string, kind string, value string, n bigint").groupBy("source", "kind", "value").agg(F.sum("n").alias("n"))
     counts = counts.where(f"kind = 'n' OR n >= {LEAST_SEEN}").persist()
     totals = {r["source"]: r["n"] for r in counts.where("kind = 'n'").collect()}
     total = sum(totals.values())
-    closing = frozenset(r["value"] for r in counts.where("kind = 's'").where(F.col("n") >= max(LEAST_SEEN, SHAPE_SHARE * total)).collect())
+    closing = frozenset(r["value"] for r in counts.where("kind = 's'").where(F.col("n") >= F.greatest(F.lit(LEAST_SEEN), F.when(F.col("value").startswith("l:"), LEAD_SHARE).otherwise(SHAPE_SHARE) * total)).collect())
     own = counts.where("kind = 'n'").select("source", F.col("n").alias("of"))
     common = counts.where("kind = 'l'").join(F.broadcast(own), "source").where(F.col("n") >= LIMIT_SHARE * F.col("of"))
     limits: dict[str, set[int]] = {}

@@ -19,7 +19,10 @@ _WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "　 –—‐−"
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + "  ----"
 # Decorations that entries carry and list forms do not.
 _BEFORE = r"^(?:\s|\*|【[^】]{0,6}】|serum\b|plasma\b|final\b|draft\b)+"
-_BEHIND = r"(?:\s*(?:\*|【[^】]{0,6}】|\((?:血清|血浆|复查|急|终|电子版|修订|补)\)|测定|定量|检测|-修订|_v\d+| \d+|\.))+\s*$"
+_BEHIND = r"(?:\s*(?:\*|【[^】]{0,6}】|\((?:血清|血浆|复查|急|终|电子版|修订|补)\)|测定|定量|检测|-修订|_v\d+|\.))+\s*$"
+_NUMBERED = r"\s+\d\s*$"
+# What is typed where there is no value.
+_NO_VALUE = r"^[\s\[(*]*(?:n\s*/\s*a|n\.a\.|null|none|nil|-+|\?+)[\s\])*]*(?:\(急\))?$"
 
 
 def edits_allowed(length: str) -> str:
@@ -40,6 +43,16 @@ def _digits(col: str) -> str:
     return f"array_sort(array_distinct(split(regexp_replace({col}, '[^2-9]', ''), '')))"
 
 
+def _single(col: str) -> str:
+    """SQL for a text with doubled characters as one."""
+    return f"regexp_replace({col}, r'(.)\\1+', '$1')"
+
+
+def _letters(col: str) -> str:
+    """SQL for the characters of a text, sorted."""
+    return f"array_sort(split({col}, ''))"
+
+
 def _segments(length: str, k: str) -> str:
     """SQL for the segments of a form: array of (i, start from 0, size); the last segments are longer by one."""
     size, longer = f"({length} div ({k} + 1))", f"({length} % ({k} + 1))"
@@ -60,8 +73,9 @@ def map_entries(entries: DataFrame, reference: DataFrame) -> DataFrame:
     distinct = entries.select("entry").where(F.trim(F.translate(F.col("entry"), _WIDE, _NARROW)) != "").distinct()
     plain = _plain(F.col("entry"))
     stripped = F.regexp_replace(F.regexp_replace(plain, _BEFORE, ""), _BEHIND, "")
-    forms = F.array_distinct(F.array(_bare(plain), _bare(stripped), F.regexp_replace(_bare(stripped), "^血清", "")))
-    left = distinct.select("entry", F.explode(forms).alias("e")).where("e <> ''").withColumn("n", F.length("e"))
+    unnumbered = F.regexp_replace(stripped, _NUMBERED, "")
+    forms = F.array_distinct(F.array(_bare(plain), _bare(stripped), _bare(unnumbered), F.regexp_replace(_bare(stripped), "^血清", "")))
+    left = distinct.where(~plain.rlike(_NO_VALUE)).select("entry", F.explode(forms).alias("e")).where("e <> ''").withColumn("n", F.length("e"))
     right = reference.select("code", _bare(_plain(F.col("form"))).alias("r")).where("r <> ''").distinct().withColumn("n", F.length("r"))
     k, length = edits_allowed("n"), "n"
     # forms too short for k + 1 segments keep empty segments, which meet every entry of a near length
@@ -79,12 +93,12 @@ def map_entries(entries: DataFrame, reference: DataFrame) -> DataFrame:
     )
     candidates = probes.join(pieces, ["n", "i", "piece"]).select("entry", "e", "code", "r", "n").distinct()
     edits = candidates.withColumn("edits", F.levenshtein("e", "r")).where(f"edits <= {k}")
-    # Short forms admit one more character only, of the shortest a doubled one; digits tell entries apart.
+    # Of short forms, one more character is admitted (of the shortest a doubled one), then one edit besides doubling or a swap; digits tell entries apart.
     sure = edits.where(
         f"""edits = 0
         OR (n <= 2 AND regexp_replace(e, '(.)\\\\1+', '$1') = regexp_replace(r, '(.)\\\\1+', '$1'))
         OR (n = 3 AND length(e) = 4)
-        OR (n > 3 AND {_digits('e')} = {_digits('r')})"""
+        OR (n > 3 AND {_digits('e')} = {_digits('r')} AND (n > 5 OR edits = 1 OR levenshtein({_single('e')}, {_single('r')}) <= 1 OR {_letters('e')} = {_letters('r')}))"""
     )
     best = Window.partitionBy("entry").orderBy("edits", F.abs(F.length("e") - F.col("n")), "code")
     found = sure.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("entry", "code", F.col("edits").cast("bigint").alias("edits"))
