@@ -94,7 +94,9 @@ def item_forms(name: Column) -> Column:
     text = narrow(name)
     bare = F.regexp_replace(text, r"^(?:\s*(?:【[^】]{0,6}】|\*|\[|(?i)serum\s+|(?i)plasma\s+))+", "")
     bare = F.regexp_replace(bare, r"(?:\s*(?:【[^】]{0,6}】|[（(](?:血清|复查|急|血浆)[)）]|测定|定量|检测|\*|\]))+\s*$", "")
-    return F.array_distinct(F.array(folded(text), folded(bare), folded(F.regexp_replace(bare, "^血清", ""))))
+    forms = F.array_distinct(F.array(folded(text), folded(bare), folded(F.regexp_replace(bare, "^血清", ""))))
+    # "n/a" is no name, though folding would make it one
+    return F.when(~text.rlike(r"(?i)^[\s\[(*]*n\s*/\s*a\b"), forms)
 
 
 def common_units(df: DataFrame, items: DataFrame, id_col: str, name_col: str, result_col: str, unit_col: str) -> DataFrame:
