@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.knowledge import as_known
@@ -26,29 +26,29 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return times.where("NOT dated").select("rec_id", F.col("field").alias("field_name"), F.col("us").alias("utc_us"))
 
 
-def _micros(clock: str) -> F.Column:
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', convert_timezone(_zone, 'UTC', {clock}))")
+def _micros(clock: str, zone: str) -> Column:
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', convert_timezone('{zone}', 'UTC', {clock}))")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The record of each source type that stood for the patient, as known, at each checkpoint."""
     records, sources = table(spark, folder, "fictional_raw_records"), table(spark, folder, "source_systems")
-    # One row: the zone of the system whose clock the records' own times follow.
-    hub = F.broadcast(sources.where(F.col("source_system") == CLOCK).limit(1).select(F.lit(1).alias("_one"), F.col("time_zone").alias("_zone")))
+    # One value: the zone of the system whose clock the records' own times follow.
+    hub = sources.where((F.col("source_system") == CLOCK) & F.col("time_zone").rlike("^[A-Za-z0-9_+/-]+$")).select(F.min("time_zone")).first()[0] or "UTC"
     reported = normalise_times(records, "rec_id", "source_system", ["report_time"], sources).select("rec_id", F.col("us").alias("reported"))
     changes = (
-        records.select("rec_id", "patient_uid", "source_type", "clinical_time", "available_time", F.lit(1).alias("_one"))
+        records.select("rec_id", "patient_uid", "source_type", "clinical_time", "available_time")
         .where("clinical_time IS NOT NULL AND patient_uid IS NOT NULL")
-        .join(hub, "_one")
         .join(reported, "rec_id", "left")
         .select(
             F.col("rec_id").alias("id"), F.col("patient_uid").alias("entity"), F.coalesce("source_type", F.lit("")).alias("kind"),
-            _micros("try_cast(trim(clinical_time) AS TIMESTAMP_NTZ)").alias("happened"),
-            F.coalesce(_micros("try_cast(trim(available_time) AS TIMESTAMP_NTZ)"), "reported").alias("known"),
+            _micros("try_cast(trim(clinical_time) AS TIMESTAMP_NTZ)", hub).alias("happened"),
+            F.coalesce(_micros("try_cast(trim(available_time) AS TIMESTAMP_NTZ)", hub), "reported").alias("known"),
         )
     )
-    events = table(spark, folder, "checkpoints").select("checkpoint_id", "patient_uid", F.col("decision_time").cast("timestamp_ntz").alias("decision_time"), F.lit(1).alias("_one"))
-    events = events.join(hub, "_one").select(F.col("checkpoint_id").alias("event_id"), F.col("patient_uid").alias("entity"), _micros("decision_time").alias("at"))
+    events = table(spark, folder, "checkpoints").select(
+        F.col("checkpoint_id").alias("event_id"), F.col("patient_uid").alias("entity"), _micros("cast(decision_time AS TIMESTAMP_NTZ)", hub).alias("at")
+    )
     size = records.select("rec_id").count()
     found = as_known(events, changes, buckets=max(1, size // 20_000))
     return found.select(F.col("event_id").alias("checkpoint_id"), F.col("change_id").alias("rec_id")).distinct()

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +83,7 @@ def as_known(
         ch.groupBy("entity", "kind", F.greatest("happened", "known").alias("eligible"))
         .agg(F.max(F.struct("happened", "known", (-F.col("id")).alias("minus"))).alias("best"))
         .withColumn("slice", F.expr(f"floor(eligible / {slice_us})"))
+        .persist(StorageLevel.MEMORY_AND_DISK)  # read three times below
     )
     needed = ev.select("entity", "slice").distinct()
     summary = ch.groupBy("entity", "kind", "slice").agg(F.max("best").alias("best"))
