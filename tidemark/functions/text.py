@@ -39,7 +39,7 @@ def tags(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 def clauses(text: Column) -> Column:
     """The non-blank clauses of a text."""
-    return F.filter(F.transform(F.split(text, CLAUSE_END), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(text, CLAUSE_END), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def affirmed(text: Column, pattern: str, negation: str) -> Column:
