@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import ids, text, timerange
 from tidemark.operators import aggregates, joins, packets, replay, validate, windows
 from tidemark.sources import sinks
-from tidemark.sources.tables import table
+from tidemark.session import shared_folder
+from tidemark.sources.tables import stream, table
+from tidemark.streaming import episodes as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,3 +617,29 @@ def turn_replay(spark, folder):
     requests = begin.select("case_id", "begin", steps).select("case_id", "begin", "s.step", "s.wanted")
     events = _events(spark, folder).select(F.col("user_id").alias("case_id"), "event_id", F.col("event_type").alias("kind"), F.col("ts").alias("at"))
     return replay.replay(requests, events, 2, 10)
+
+
+# ---- streaming
+
+
+@query("""
+WITH f AS (SELECT user_id, min(ts) AS first FROM events GROUP BY 1), n AS (SELECT e.user_id, epoch_us(first) AS first_us, count(*) FILTER (e.ts <= first + INTERVAL 1 DAY) AS inside, count(*) AS n FROM events e JOIN f USING (user_id) GROUP BY 1, 2)
+SELECT CAST(user_id AS VARCHAR) AS entity, first_us, CAST(least(inside, 3) AS INTEGER) AS steps, CASE WHEN inside >= 3 THEN 'depth_limit_reached' WHEN n > inside THEN 'expired' ELSE 'waiting' END AS status FROM n""")
+def stream_episodes(spark, folder):
+    """Episodes over the events as a stream, each batch appended to a table in the shared folder; the last news of each entity."""
+    events = stream(spark, folder, "events")
+    base = shared_folder(spark, "episodes")
+    news = streams.episodes(events, "user_id", "ts", most_steps=3, horizon_us=86_400_000_000)
+    keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/news")
+    news.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return joins.last_wins(spark.read.parquet(f"{base}/news"), "entity", ["batch"]).drop("batch")
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM events)")
+def stream_distinct_events(spark, folder):
+    """Every event once, although the stream delivers each twice."""
+    events = stream(spark, folder, "events").withColumn("available", F.col("ts").cast("timestamp"))
+    base = shared_folder(spark, "distinct")
+    once = streams.distinct_events(events.unionByName(events), "event_id", "available", "40 days")
+    once.select("event_id").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("n"))

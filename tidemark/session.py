@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +31,20 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint.
+def shared(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it; a local one only where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or os.path.join(tempfile.gettempdir(), "tidemark-shared")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a written table or a stream's state below the shared folder."""
+    return f"{shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    where none is set, as in tests on one machine, a local folder is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)
