@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed features; intact rows taken for training (ordered by a hash of the id), cuts made of each.
+#: Hashed features; rows taken for training (about so many, by a hash of the id), of which the intact ones count; cuts made of each.
 FEATURES, TRAIN_ROWS, CUTS = 1 << 16, 6000, 2
 #: A last line's shape (or mere lead) is a closing line if so large a share of all texts ends with it; a length is a limit at so large a share of its source.
 SHAPE_SHARE, LEAD_SHARE, LIMIT_SHARE, LEAST_SEEN = 0.001, 0.003, 0.02, 4
@@ -35,12 +35,21 @@ _ADDED = re.compile(
     r"(?:\s*(?:\[[^\[\]\n]{0,12}\d{4}[-./]\d{1,2}[-./]\d{1,2}[^\[\]\n]{0,12}\]|（[^（）\n]{0,8}\d{4}[-./]\d{1,2}[-./]\d{1,2}[^（）\n]{0,12}）|--? ?\d{4}[-./]\d{1,2}[-./]\d{1,2} ?/ ?\d+ ?--?"
     r"|\((?:page|p\.) ?\d+ (?:of|/) ?\d+\)|(?:[Pp]age|PAGE) \d+(?: of \d+)?|第\d+页(?:/?共\d+页)?|【以下空白】|——+|-- ?end ?--|END OF REPORT))+\s*$"
 )
-_COMPLETE = re.compile(r"[。！？!?]['\"”’）)\]】]*$|(?<!\d)\.['\"”’)\]]*$|\d\.$|（完）$|[.…。]{2,}$")
+_COMPLETE = re.compile(r"[。！？!?]['\"”’）)\]】]*$|(?<!\d)\.['\"”’)\]]*$|（完）$|[.…。]{2,}$")
+_AFTER_NUMBER = re.compile(r"(\d\.)?\d+\.$")
+_HAN = re.compile("[一-鿿]")
 _ELLIPSIS = re.compile(r"(?:…+|\.{3,})\s*$")
 # Phrases that make an ellipsis a complete ending.
 _AND_SO_ON = re.compile(r"(?:余项从略|从略|略|等等|and so on|etc\.?)\s*(?:…+|\.{3,})\s*$", re.IGNORECASE)
 
 
+def ends_whole(body: str) -> bool:
+    """Whether a text ends with a mark that closes a sentence. In Chinese text, a point behind a whole number is that of a broken decimal."""
+    if m := _AFTER_NUMBER.search(body):
+        return bool(m[1]) or not _HAN.search(body[-30:])
+    return bool(_COMPLETE.search(body))
+
+
 class Tail(NamedTuple):
     """The end of a text: what is left without additions, whether an ellipsis stood behind it, its last line, its line before."""
 
@@ -69,7 +78,7 @@ def tail_of(text: str) -> Tail:
 def shapes(line: str) -> list[str]:
     """Shapes of a short line: its lead, or its first or last token verbatim with digits as 0 and other words masked. Long lines have none."""
     line = line.strip()
-    if not line or len(line) > 40 or _COMPLETE.search(line):
+    if not line or len(line) > 40 or ends_whole(line):
         return []
     tokens = re.findall(r"\d+(?:\.\d+)?|[一-鿿]+|[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'\-]*|\s+|.", line)
     masked = ["0" if t[0].isdigit() else "汉" if "一" <= t[0] <= "鿿" else "W" if t[0].isalpha() and t[0].isupper() else "w" if t[0].isalpha() else " " if t.isspace() else t for t in tokens]
@@ -91,11 +100,11 @@ def known_end(tail: Tail, text: str, closing: frozenset[str]) -> bool:
     body = tail.body.rstrip()
     if tail.ellipsis or not body:
         return False
-    if _COMPLETE.search(body) or _AND_SO_ON.search(body):
+    if ends_whole(body) or _AND_SO_ON.search(body):
         return True
     if entry := entry_shape(tail.line):
         return f"e:{entry}" in closing or any(entry == entry_shape(x) for x in tail.body.split("\n")[:-1])
-    return bool(_COMPLETE.search(tail.before) or entry_shape(tail.before)) and any(s in closing for s in shapes(tail.line) if s)
+    return bool(ends_whole(tail.before) or entry_shape(tail.before)) and any(s in closing for s in shapes(tail.line) if s)
 
 
 def features(text: str, tail: Tail, closing: frozenset[str], limits: frozenset[int]) -> list[int]:
@@ -103,7 +112,7 @@ def features(text: str, tail: Tail, closing: frozenset[str], limits: frozenset[i
     body = tail.body.rstrip()
     at_limit = len(text) in limits or len(tail.body) in limits or len(text.rstrip()) in limits
     last = re.sub(r"[一-鿿]", "汉", re.sub(r"[a-z]+", "w", re.sub(r"\d+", "0", body[-8:])))
-    complete, known = bool(_COMPLETE.search(body)), known_end(tail, text, closing)
+    complete, known = ends_whole(body), known_end(tail, text, closing)
     opened = sum(body.count(c) for c in "（(【[“「") - sum(body.count(c) for c in "）)】]”」")
     names = [
         "bias", f"limit={at_limit}", f"ellipsis={tail.ellipsis}", f"complete={complete}", f"known={known}", f"open={opened > 0}",
@@ -115,8 +124,8 @@ def features(text: str, tail: Tail, closing: frozenset[str], limits: frozenset[i
     return [zlib.crc32(n.encode()) % FEATURES for n in names]
 
 
-def make_cuts(doc_id: int, text: str, tail: Tail, limits: frozenset[int]) -> list[str]:
-    """Cut an intact text so that it stops inside a sentence or entry, at a limit of its source where it has one in reach."""
+def make_cuts(doc_id: int, tail: Tail, closing: frozenset[str], limits: frozenset[int]) -> list[str]:
+    """Cut an intact text so that it stops inside a sentence or entry, at a limit of its source where it has one in reach. A stop that looks complete teaches nothing and is left out."""
     out = []
     body = tail.body.rstrip()
     for k in range(CUTS):
@@ -125,21 +134,30 @@ def make_cuts(doc_id: int, text: str, tail: Tail, limits: frozenset[int]) -> lis
         if (near := [n for n in limits if n < len(body)]) and draw % 2:
             at = near[draw % len(near)]
         piece = body[:at]
-        if not piece.strip() or _COMPLETE.search(piece.rstrip()) and not re.search(r"\d\.$", piece) or body[at : at + 1] in ("", "\n"):
+        complete = known_end(tail_of(piece), piece, closing) and not re.search(r"(?:^|[^\d.])\d+\.$", piece)
+        if not piece.strip() or complete or body[at : at + 1] in ("", "\n"):
             continue
         out.append(piece + ("…" if draw % 11 == 0 else ""))
     return out
 
 
-def train(rows: list[tuple[list[int], int]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression by stochastic gradient descent, in a fixed order."""
-    weights = np.zeros(FEATURES)
+def train(rows: list[tuple[list[int], int]], rounds: int = 30, rate: float = 0.5, batch: int = 32) -> np.ndarray:
+    """Logistic regression by gradient descent with a rate of its own for each feature, over small batches in a fixed order."""
+    weights, squares = np.zeros(FEATURES), np.full(FEATURES, 1e-6)
+    if not rows:
+        return weights
+    active, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
     order = np.random.default_rng(9)
-    for turn in range(rounds):
-        for k in order.permutation(len(rows)):
-            active, label = rows[k]
-            error = label - 1.0 / (1.0 + np.exp(-np.clip(weights[active].sum(), -30, 30)))
-            weights[active] += rate / (1 + turn) * (error - decay * weights[active])
+    for _ in range(rounds):
+        shuffled = order.permutation(len(rows))
+        for at in range(0, len(rows), batch):
+            part = shuffled[at : at + batch]
+            columns = active[part]
+            error = labels[part] - 1.0 / (1.0 + np.exp(-np.clip(weights[columns].sum(axis=1), -30, 30)))
+            gradient = np.bincount(columns.ravel(), np.repeat(error, columns.shape[1]), FEATURES)
+            touched = np.unique(columns)
+            squares[touched] += gradient[touched] ** 2
+            weights[touched] += rate * gradient[touched] / np.sqrt(squares[touched])
     return weights
 
 
@@ -165,7 +183,7 @@ def fit(docs: DataFrame) -> Model:
                 tail = tail_of(text)
                 out.append((source, "n", ""))
                 out.extend((source, "l", str(n)) for n in {len(text), len(tail.body), len(text.rstrip())})
-                if not tail.ellipsis and (_COMPLETE.search(tail.before) or entry_shape(tail.before)):
+                if not tail.ellipsis and (ends_whole(tail.before) or entry_shape(tail.before)):
                     out.extend(("", "s", s) for s in shapes(tail.line) if s)
                 # a line with another behind it is whole, so its entry shape is that of a complete entry
                 out.extend(("", "s", f"e:{s}") for s in {entry_shape(x) for x in tail.body.split("\n")[:-1]} if s)
@@ -184,15 +202,18 @@ def fit(docs: DataFrame) -> Model:
     counts.unpersist()
     frozen = {source: frozenset(v) for source, v in limits.items()}
 
-    # the sample: the rows with the least hashes, whatever the size of the corpus
-    sample = texts.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "text").limit(TRAIN_ROWS).collect()
+    # The sample: rows whose hash falls into a share that yields about TRAIN_ROWS, whatever the size of the corpus.
+    cells = 1 << 30
+    share = cells if total <= TRAIN_ROWS else max(1, cells * TRAIN_ROWS // total)
+    sample = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(cells)) < share).collect()
+    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     rows: list[tuple[list[int], int]] = []
     for r in sample:
         tail, own_limits = tail_of(r["text"]), frozen.get(r["source"], frozenset())
         if not known_end(tail, r["text"], closing):
             continue
         rows.append((features(r["text"], tail, closing, own_limits), 0))
-        for piece in make_cuts(r["doc_id"], r["text"], tail, own_limits):
+        for piece in make_cuts(r["doc_id"], tail, closing, own_limits):
             rows.append((features(piece, tail_of(piece), closing, own_limits), 1))
     return Model(train(rows), closing, frozen)
 

@@ -63,27 +63,40 @@ def cut_between(text: str, at: int) -> bool:
     return a != b and a != 3 and text[at - 1] != "'"
 
 
+def may_sever(text: str, at: int) -> bool:
+    """Whether a cut between ``text[at - 1]`` and ``text[at]`` leaves the two parts of one pre-token on its sides and all others whole."""
+    kind = _class(text[at])
+    if kind != _class(text[at - 1]):
+        return False
+    if kind == 1:  # a contraction takes up to two letters behind its apostrophe
+        return "'" not in text[max(0, at - 3) : at]
+    if kind == 3:  # the last space of a run goes to what follows it
+        return at + 1 < len(text) and _class(text[at + 1]) == 3
+    return text[at] != "'"
+
+
 def halves(text: str, limit: int) -> list[tuple[str, bool]]:
     """Pieces of at most ``limit`` characters, each with whether the cut before it severs a pre-token.
 
-    Every half is cut at a boundary near its middle if one lies within an eighth of its length.
+    Every half is cut at a boundary near its middle if one lies within an eighth
+    of its length, else as near to the middle as a pre-token can be severed. A
+    text that can be cut nowhere stays whole.
     """
     if len(text) <= limit:
         return [(text, False)]
-    middle, reach = len(text) // 2, len(text) // 8
-    cut, severed = None, False
-    for d in range(reach):
-        for at in (middle + d, middle - d):
-            if 0 < at < len(text) and cut_between(text, at):
-                cut = at
-                break
-        if cut is not None:
-            break
+    middle, reach = len(text) // 2, max(1, len(text) // 8)
+
+    def around(most: int) -> Iterator[int]:
+        for d in range(most):
+            yield from (at for at in dict.fromkeys((middle + d, middle - d)) if 0 < at < len(text))
+
+    cut, severed = next((at for at in around(reach) if cut_between(text, at)), None), False
+    if cut is None:
+        cut, severed = next((at for at in around(len(text)) if may_sever(text, at)), None), True
     if cut is None:
-        cut, severed = middle, True
-        # not before an apostrophe, which alone at the start of a piece could look like a contraction
-        while cut < len(text) - 1 and (text[cut] == "'" or _class(text[cut]) != _class(text[cut - 1])):
-            cut += 1
+        cut, severed = next((at for at in around(len(text)) if cut_between(text, at)), None), False
+    if cut is None:
+        return [(text, False)]
     right = halves(text[cut:], limit)
     return halves(text[:cut], limit) + [(right[0][0], severed), *right[1:]]
 
