@@ -134,7 +134,8 @@ def make_cuts(doc_id: int, tail: Tail, closing: frozenset[str], limits: frozense
         if (near := [n for n in limits if n < len(body)]) and draw % 2:
             at = near[draw % len(near)]
         piece = body[:at]
-        complete = known_end(tail_of(piece), piece, closing) and not re.search(r"(?:^|[^\d.])\d+\.$", piece)
+        broken = at in limits and re.search(r"(?:^|[^\d.])\d+\.$", piece)
+        complete = known_end(tail_of(piece), piece, closing) and not broken
         if not piece.strip() or complete or body[at : at + 1] in ("", "\n"):
             continue
         out.append(piece + ("…" if draw % 11 == 0 else ""))
