@@ -98,3 +98,25 @@ def strict_json(text: Column) -> Column:
     held = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"\u241e"]')))
     whole = F.try_variant_get(held, "$[1]", "string") == "\u241e"
     return F.coalesce(whole & text.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False))
+
+
+DATE = r"(?:19|20)\d{2}[-/.]\d{1,2}[-/.]\d{1,2}"
+
+
+def first_number(text: Column) -> Column:
+    """The first number in a text; null where there is none."""
+    return F.nullif(F.regexp_extract(text, r"(-?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
+
+
+def date_before(text: Column, literal: str) -> Column:
+    """The last written date before the first occurrence of a literal, as it is written."""
+    at = F.instr(text, literal)
+    dates = F.regexp_extract_all(F.substring(text, F.lit(1), at - 1), F.lit(f"({DATE})"), F.lit(1))
+    return F.when(at > 0, F.try_element_at(dates, F.lit(-1)))
+
+
+def date_behind(text: Column, literal: str) -> Column:
+    """The first written date behind the first occurrence of a literal, as it is written."""
+    at = F.instr(text, literal)
+    rest = F.substring(text, at + len(literal), F.length(text))
+    return F.when(at > 0, F.nullif(F.regexp_extract(rest, f"({DATE})", 1), F.lit("")))

@@ -99,3 +99,23 @@ def balanced_fill(df: DataFrame, group: str, order: Sequence[str], sizes: dict[s
     # no group can give more than n, so the rest is dropped before the total order
     near = df.withColumn("turn", turn.cast("bigint")).where(F.col("turn") - start < n)
     return near.orderBy("turn", group, *order).limit(n)
+
+
+def allocate(df: DataFrame, group: str, n: int) -> DataFrame:
+    """(group, size, places): ``n`` places shared among groups by size, whole parts first, then the largest remainders.
+
+    Only the groups' sizes are ordered, one row per group.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
+    total = Window.partitionBy()
+    shares = sizes.withColumn("_all", F.sum("size").over(total)).withColumn("_whole", F.expr(f"size * {n} div _all")).withColumn("_rest", F.expr(f"size * {n} % _all"))
+    place = F.row_number().over(Window.orderBy(F.col("_rest").desc(), group))
+    left = F.lit(n) - F.sum("_whole").over(total)
+    return shares.withColumn("places", (F.col("_whole") + F.when(place <= left, 1).otherwise(0)).cast("bigint")).select(group, "size", "places")
+
+
+def soft_cap(df: DataFrame, group: str, order: Sequence[str], cap: int, n: int) -> DataFrame:
+    """``n`` rows, no more than ``cap`` of a group as long as others are left; then the overflow in order."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    near = df.withColumn("_place", place).where(F.col("_place") <= n).withColumn("over_cap", F.col("_place") > cap)
+    return near.drop("_place").orderBy("over_cap", *order).limit(n)

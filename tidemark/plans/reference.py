@@ -350,6 +350,19 @@ def timeline_nulls_last(spark, folder):
     return parts[0].unionByName(parts[1]).where("patient_uid IS NOT NULL").select("kind", "k", F.row_number().over(w).cast("bigint").alias("place"), "patient_uid")
 
 
+@query("""
+WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), t AS (SELECT source, size, size * 97 // sum(size) OVER () AS w, size * 97 % sum(size) OVER () AS r FROM s)
+SELECT source, size, CAST(w + CASE WHEN row_number() OVER (ORDER BY r DESC, source) <= 97 - sum(w) OVER () THEN 1 ELSE 0 END AS BIGINT) AS places FROM t""")
+def proportional_allocation(spark, folder):
+    return windows.allocate(table(spark, folder, "documents"), "source", 97)
+
+
+@query("""
+WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) > 3 AS over_cap FROM documents) SELECT doc_id, source, over_cap FROM r ORDER BY over_cap, doc_id LIMIT 80""")
+def soft_cap_fill(spark, folder):
+    return windows.soft_cap(table(spark, folder, "documents").select("doc_id", "source"), "source", ["doc_id"], 3, 80)
+
+
 # ---- aggregates
 
 
@@ -527,6 +540,26 @@ def evidence_search_top_k(spark, folder):
     return windows.quota(hits, "source", ["at", "doc_id"], {}, 2).select("source", "doc_id")
 
 
+@query("""
+SELECT doc_id, CAST(nullif(regexp_extract(text, '(-?[0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE) AS first FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[0-9]{16}')""")
+def first_number_in_text(spark, folder):
+    docs = table(spark, folder, "documents").where("NOT coalesce(text, '') RLIKE '[0-9]{16}'")
+    return docs.select("doc_id", text.first_number(F.col("text")).alias("first"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN instr(text, '提示') > 0 THEN list_last(regexp_extract_all(substring(text, 1, instr(text, '提示') - 1), '((19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2})', 1)) END AS before,
+  CASE WHEN instr(text, '安排在') > 0 THEN nullif(regexp_extract(substring(text, instr(text, '安排在') + 3), '((19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2})', 1), '') END AS behind FROM documents""")
+def embedded_dates(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", text.date_before(F.col("text"), "提示").alias("before"), text.date_behind(F.col("text"), "安排在").alias("behind"))
+
+
+@query("""
+SELECT event_type, count(*) FILTER (value > 90) AS hits, count(*) AS n, count(*) FILTER (value > 90) * 1000 // count(*) AS rate_permille FROM events GROUP BY 1""")
+def stratum_rates(spark, folder):
+    return _events(spark, folder).groupBy("event_type").agg(F.count_if(F.col("value") > 90).alias("hits"), F.count("*").alias("n")).withColumn("rate_permille", F.expr("hits * 1000 div n"))
+
+
 # ---- json, ids, validation, upserts
 
 
