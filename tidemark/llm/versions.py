@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,8 @@ def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7
             out.append(shared * 1000 >= round(share * 1000) * max(len(p), len(q)))
         return pd.Series(out, dtype=bool)
 
-    sketches = texts.select("id", sketch("text").alias("s")).select("id", "s.keys", "s.symbols")
+    # read for the blocks and twice for the symbols; half a kilobyte a text
+    sketches = texts.select("id", sketch("text").alias("s")).select("id", "s.keys", "s.symbols").persist(StorageLevel.MEMORY_AND_DISK)
     blocks = sketches.select("id", F.posexplode("keys").alias("block", "key"))
     a, b = blocks.select(F.col("id").alias("a"), "block", "key"), blocks.select(F.col("id").alias("b"), "block", "key")
     candidates = a.join(b, ["block", "key"]).where("a < b").select("a", "b").distinct()
