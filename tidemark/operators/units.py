@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.width import narrow
 from tidemark.operators.spellings import alias_dictionary, folded
+from tidemark.session import cut
 
 # Metric prefixes and what they measure, in Latin and Chinese spelling.
 _PREFIXES = (("", "", 1.0), ("k", "千", 1e3), ("d", "分", 1e-1), ("m", "毫", 1e-3), ("u", "微", 1e-6), ("mc", "", 1e-6), ("n", "纳", 1e-9), ("p", "皮", 1e-12))
@@ -75,18 +76,21 @@ def read_results(df: DataFrame, result: str) -> DataFrame:
     text = F.translate(F.regexp_replace(narrow(F.col(f"`{result}`")), "([⁰¹²³⁴⁵⁶⁷⁸⁹⁻]+)", "^$1"), "⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
     head = r"^(?:结果|约|测得|result|about|[=≈~:]|\s)*(?:[<>]=?|[≤≥])?\s*"
     whole = head + r"([-+]?\d[\d.,]*(?<![.,]))(?:(?:[eE]|\s*[x×*]\s*10\^)([-+]?\d{1,3})(?!\d*/))?\s*(.*)$"
-    out = df.withColumn("_text", text).withColumn("_hit", F.regexp_extract("_text", whole, 1))
+    # one match per row: its groups come out as one array
+    groups = F.split(F.regexp_replace(F.col("_text"), whole, "$1\u0001$2\u0001$3"), "\u0001")
+    out = df.withColumn("_text", text).withColumn("_groups", groups).withColumn("_hit", F.when(F.size("_groups") == 3, F.col("_groups")[0]))
     digits = (
         F.when(F.col("_hit").rlike(r"^[-+]?[1-9]\d{0,2}(,\d{3})+(\.\d+)?$"), F.regexp_replace("_hit", ",", ""))
         .when(F.col("_hit").rlike(r"^[-+]?\d{1,3}(\.\d{3})+,\d+$"), F.translate("_hit", ",.", "."))
         .otherwise(F.regexp_replace("_hit", ",", "."))
     )
-    power = F.regexp_extract("_text", whole, 2)
-    rest = F.regexp_extract("_text", whole, 3)
+    power = F.col("_groups")[1]
+    rest = F.col("_groups")[2]
     for junk in (r"[(\[]?\s*(?:参考|正常|范围|ref).*$", r"[,;]?\s*(?:已复核|复查|重测)\s*$", r"\(\s*(?:复查|已复核|重测)?\s*\)\s*$", r"\s*(?:[↑↓*]+|低|高|偏低|偏高|(?<=\s|^)H)\s*$"):
         rest = F.regexp_replace(rest, junk, "")
+    rest = F.when(F.col("_groups")[2] == "", "").otherwise(rest)
     number = F.concat(digits, F.when(power != "", F.concat(F.lit("e"), power)).otherwise(""))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], number.try_cast("double").alias("_number"), F.when(F.col("_hit") != "", F.trim(rest)).alias("_inline"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], number.try_cast("double").alias("_number"), F.when(F.col("_hit").isNotNull(), F.trim(rest)).alias("_inline"))
 
 
 def item_forms(name: Column) -> Column:
@@ -120,14 +124,14 @@ def common_units(df: DataFrame, items: DataFrame, id_col: str, name_col: str, re
         df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{name_col}`").alias("name"), F.col(f"`{result_col}`").alias("result"), F.col(f"`{unit_col}`").alias("unit")),
         "result",
     ).where("_number IS NOT NULL AND name IS NOT NULL")
-    names = rows.select("name").distinct()
+    names = df.select(F.col(f"`{name_col}`").alias("name")).where("name IS NOT NULL").distinct()
     item_map = alias_dictionary(names.select(F.col("name").alias("spelling"), F.explode(item_forms(F.col("name"))).alias("form")), reference).select(
         F.col("spelling").alias("name"), F.col("key").alias("item_code")
     )
-    inline, own = folded_unit(F.col("_inline")), folded_unit(F.col("unit"))
-    rows = rows.select("id", "name", F.col("_number").alias("number"), inline.alias("inline"), own.alias("own"), F.col("unit").alias("raw_unit"), F.col("_inline").alias("raw_inline"))
+    # Read for the dictionary and for the result, so it is written once to the shared folder.
+    rows = cut(rows.select("id", "name", F.col("_number").alias("number"), F.col("_inline").alias("inline"), F.col("unit").alias("own")))
     spelled = rows.select(F.explode(F.array_distinct(F.array_compact(F.array("inline", "own")))).alias("spelling")).where("spelling <> ''").distinct()
-    unit_map = alias_dictionary(spelled.withColumn("form", F.col("spelling")), units.select(F.concat_ws("|", "dimension", "factor").alias("key"), "form"), strict=True)
+    unit_map = alias_dictionary(spelled.withColumn("form", folded_unit(F.col("spelling"))), units.select(F.concat_ws("|", "dimension", "factor").alias("key"), "form"), strict=True)
     unit_map = unit_map.select("spelling", F.split_part("key", F.lit("|"), F.lit(1)).alias("dimension"), F.split_part("key", F.lit("|"), F.lit(2)).cast("double").alias("factor"))
     common = (
         items.select("item_code", folded_unit(F.col("common_unit")).alias("form"), F.col("molar_mass").cast("double").alias("molar_mass"))
@@ -139,7 +143,7 @@ def common_units(df: DataFrame, items: DataFrame, id_col: str, name_col: str, re
     joined = (
         rows.join(item_map.join(common, "item_code"), "name").join(first, "inline", "left").join(second, "own", "left")
         .withColumn("dimension", F.coalesce("d1", "d2")).withColumn("factor", F.when(F.col("d1").isNotNull(), F.col("f1")).otherwise(F.col("f2")))
-        .withColumn("unit", F.when(F.col("d1").isNotNull(), F.col("raw_inline")).otherwise(F.col("raw_unit")))
+        .withColumn("unit", F.when(F.col("d1").isNotNull(), F.col("inline")).otherwise(F.col("own")))
     )
     same = F.col("dimension") == F.col("to_dimension")
     ratio = F.col("number") * (F.col("factor") / F.col("to_factor"))
