@@ -33,6 +33,18 @@ def test_find_and_replace(spark):
     assert personal.find_personal(again, lexicon).count() == 0
 
 
+def test_hot_name(spark):
+    # one full name, in a third of all rows: a note copied, and the same person in notes of their own
+    plain = [(f"今日第{i}次查房，腹痛减轻。",) for i in range(400)]
+    copied, named = [("家属赵栩，电话12651251365。",)] * 100, [(f"今日复查第{i}项，主治医师赵栩，已阅。",) for i in range(140)]
+    for hot in (copied, named, copied + named):
+        texts = [*SEEDS, *(t for t, in plain + hot)]
+        lexicon = personal.learn_lexicon(spark.createDataFrame([(t,) for t in texts], "text string"))
+        assert lexicon["family"] == {"赵", "钱", "欧阳"} and {"栩", "芷", "岑"} <= lexicon["given"]
+        df = spark.createDataFrame([(0, hot[-1][0]), (1, "护工钱栩代取报告。"), (2, "联系人赵芷岑，")], "row_id bigint, text string")
+        assert {(r["row_id"], r["hit"]) for r in personal.find_personal(df, lexicon).where("kind = 'name'").collect()} == {(0, "赵栩"), (1, "钱栩"), (2, "赵芷岑")}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "row_id bigint, text string")
     lexicon = personal.learn_lexicon(none)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ KINDS = ("name", "phone", "email", "id_number", "address")
 DISCLOSURE_BITS, DISCLOSURE_SHARE, LEAST_SEEN = 4.0, 0.08, 2
 #: A family name needs no such share, since most of its characters are common words; it must fill slots with disclosing given names this often.
 LEAST_FAMILY = 2
-#: A term seen this often must have partners of so much entropy.
+#: A term seen in this many slots of distinct texts must have partners of so much entropy.
 SET_PHRASE_SEEN, SET_PHRASE_BITS = 4, 1.0
 
 _HAN = "[一-鿿]"
@@ -117,22 +118,33 @@ def _split_han(name: str) -> tuple[str, str] | None:
     return (name[:family], name[family:]) if 1 <= len(name) - family <= 2 else None
 
 
-def term_counts(texts: list[str]) -> Counter:
-    """Occurrences of terms in texts: (kind, term, where) with where ``slot`` or ``all``.
+def term_counts(texts: list[str], copies: list[int] | None = None) -> Counter:
+    """Occurrences of terms in distinct texts: (kind, term, where) with where ``slot``, ``all`` or ``rows`` (slots again, each as often as its text has ``copies``).
 
     Kinds are given (a character of a given name), word (a capitalised Latin
-    word), and pair (a family name and a character that follows it in a slot).
+    word), and name (a family name and the given name that follows it in a slot).
     """
-    masked = "\n".join(_masked(text, structured(text)) for text in texts)
+    parts = [_masked(text, structured(text)) for text in texts]
+    masked = "\n".join(parts)
+    starts, at = [], 0
+    for part in parts:
+        starts.append(at)
+        at += len(part) + 1
     counts: Counter = Counter()
+
+    def seen(kind: str, term: str, place: int) -> None:
+        counts[kind, term, "slot"] += 1
+        counts[kind, term, "rows"] += copies[bisect_right(starts, place) - 1] if copies else 1
+
     for m in [*_SLOT_HAN.finditer(masked), *_SLOT_HAN_BRACKET.finditer(masked)]:
-        if parts := _split_han(next(g for g in m.groups() if g)):
-            for c in parts[1]:
-                counts["given", c, "slot"] += 1
-                counts["pair", f"{parts[0]} {c}", "slot"] += 1
+        group = next(i for i, g in enumerate(m.groups(), 1) if g)
+        if name := _split_han(m[group]):
+            for c in name[1]:
+                seen("given", c, m.start(group))
+            seen("name", " ".join(name), m.start(group))
     for m in _SLOT_LATIN.finditer(masked):
         for word in _LATIN.findall(m[1] or m[2]):
-            counts["word", word, "slot"] += 1
+            seen("word", word, m.end())
     for c, n in Counter(masked).items():
         if "一" <= c <= "鿿":
             counts["given", c, "all"] += n
@@ -147,54 +159,72 @@ def _bits(counts: list[int]) -> float:
     return -sum(n / total * math.log2(n / total) for n in counts)
 
 
-def disclosing_terms(rows: list[tuple[str, str, int, int]]) -> dict[str, frozenset[str]]:
-    """The lexicon from (kind, term, in slots, everywhere): terms whose co-occurrence with protected entities exceeds the threshold.
+def disclosing_terms(rows: list[tuple[str, str, int, int, int]]) -> dict[str, frozenset[str]]:
+    """The lexicon from (kind, term, in slots, everywhere, rows): terms whose co-occurrence with protected entities exceeds the threshold.
 
-    A family name combines with many given names and the other way round; a term
-    seen several times with one partner only is part of a set phrase.
+    Slots and everywhere count distinct texts, rows counts slots of all texts with
+    their copies. A family name combines with many given names and the other way
+    round; a term seen in several slots with one partner only is part of a set
+    phrase. How often one full name is repeated has no bearing on that: partners
+    are varied if they are so with every full name counted once, or with the most
+    frequent one counted as often as the next.
     """
     total = {kind: (sum(r[2] for r in rows if r[0] == kind), sum(r[3] for r in rows if r[0] == kind)) for kind in ("given", "word")}
-    partners: dict[str, dict[str, dict[str, int]]] = {"family": {}, "given": {}}
-    for kind, term, slots, _ in rows:
-        if kind == "pair":
+    names: dict[str, dict[str, list[tuple[str, int]]]] = {"family": {}, "given": {}}
+    filled: dict[str, Counter] = {}
+    for kind, term, slots, _, copies in rows:
+        if kind == "name":
             family, given = term.split(" ")
-            partners["family"].setdefault(family, {})[given] = slots
-            partners["given"].setdefault(given, {})[family] = slots
+            names["family"].setdefault(family, []).append((given, slots))
+            for c in set(given):
+                names["given"].setdefault(c, []).append((family, slots))
+            for c in given:
+                filled.setdefault(family, Counter())[c] += copies
+
+    def partners(kind: str, term: str, most: int) -> list[int]:
+        """How often each partner fills slots with the term, no full name counting more than ``most``."""
+        counts: Counter = Counter()
+        for partner, n in names[kind].get(term, []):
+            for c in partner if kind == "family" else [partner]:
+                counts[c] += min(n, most)
+        return list(counts.values())
 
     def varied(kind: str, term: str) -> bool:
-        seen = list(partners[kind].get(term, {}).values())
-        return sum(seen) < SET_PHRASE_SEEN or _bits(seen) >= SET_PHRASE_BITS
+        often = sorted((n for _, n in names[kind].get(term, [])), reverse=True)
+        counts = partners(kind, term, often[min(1, len(often) - 1)] if often else 0)
+        return sum(counts) < SET_PHRASE_SEEN or _bits(counts) >= SET_PHRASE_BITS or _bits(partners(kind, term, 1)) >= SET_PHRASE_BITS
 
     chosen: dict[str, set[str]] = {"family": set(), "given": set(), "word": set()}
-    for kind, term, slots, everywhere in rows:
-        if kind == "pair" or slots < LEAST_SEEN or not everywhere or not total[kind][0]:
+    for kind, term, slots, everywhere, copies in rows:
+        if kind == "name" or copies < LEAST_SEEN or not everywhere or not total[kind][0]:
             continue
         share = slots / everywhere
         bits = math.log2(share * total[kind][1] / total[kind][0])
         # where nearly every term is a name, chance explains much: the share alone decides
         if share >= DISCLOSURE_SHARE and (bits >= DISCLOSURE_BITS or share >= 0.25) and (kind == "word" or varied("given", term)):
             chosen[kind].add(term)
-    for family, givens in partners["family"].items():
+    for family, givens in filled.items():
         if sum(n for given, n in givens.items() if given in chosen["given"]) >= LEAST_FAMILY and varied("family", family):
             chosen["family"].add(family)
     return {kind: frozenset(terms) for kind, terms in chosen.items()}
 
 
 def learn_lexicon(texts: DataFrame) -> dict[str, frozenset[str]]:
-    """Count terms over all rows of ``texts`` (text) and keep the disclosing ones.
+    """Count terms over all distinct texts of ``texts`` (text) and keep the disclosing ones.
 
-    Only terms that stand in a slot come to the driver; their number is bounded
-    by the vocabulary of names, not by the corpus. Null texts count as empty.
+    Only terms and full names that stand in a slot come to the driver; their number
+    is bounded by the names there are, not by the corpus. Null texts count as empty.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for batch in batches:
-            total.update(term_counts([text for text in batch["text"] if text]))
-        yield pd.DataFrame([(k, t, n if w == "slot" else 0, n if w == "all" else 0) for (k, t, w), n in total.items()], columns=["kind", "term", "slots", "everywhere"])
+            total.update(term_counts(batch["text"].tolist(), batch["copies"].tolist()))
+        yield pd.DataFrame([(k, t, *(n if w == x else 0 for x in ("slot", "all", "rows"))) for (k, t, w), n in total.items()], columns=["kind", "term", "slots", "everywhere", "rows"])
 
-    counted = texts.select("text").mapInPandas(count, "kind string, term string, slots bigint, everywhere bigint")
-    summed = counted.groupBy("kind", "term").agg(F.sum("slots").alias("slots"), F.sum("everywhere").alias("everywhere")).where("slots > 0")
+    distinct = texts.where("text <> ''").groupBy("text").agg(F.count("*").alias("copies"))
+    counted = distinct.mapInPandas(count, "kind string, term string, slots bigint, everywhere bigint, rows bigint")
+    summed = counted.groupBy("kind", "term").agg(*(F.sum(c).alias(c) for c in ("slots", "everywhere", "rows"))).where("slots > 0")
     return disclosing_terms([tuple(r) for r in summed.collect()])
 
 
