@@ -38,6 +38,18 @@ def test_against_every_pair(spark):
     assert members.count() == sum(t is not None and len(t) >= 40 for _, t in rows)
 
 
+def test_least_resemblance(spark):
+    # pairs that share little more than the 70 % asked for, where a resemblance of 0.54 is the least
+    draw = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    rows = []
+    for i in range(150):
+        text = "".join(draw.choices(letters, k=300))
+        rows += [(2 * i, text), (2 * i + 1, text[:214] + "".join(draw.choices(letters, k=86)))]
+    members, pairs = close_versions(spark.createDataFrame(rows, "note bigint, body string"), "note", "body")
+    assert sorted(map(tuple, expand(members, pairs).collect())) == brute(rows) == [(2 * i, 2 * i + 1) for i in range(150)]
+
+
 def test_empty(spark):
     members, pairs = close_versions(spark.createDataFrame([], "note bigint, body string"), "note", "body")
     assert members.count() == 0 and expand(members, pairs).count() == 0

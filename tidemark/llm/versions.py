@@ -2,10 +2,10 @@
 
 Every distinct text gets a fingerprint: one MinHash symbol per hash function
 over its distinct character pieces. Two texts of resemblance J differ in a share
-1 - J of the symbols, so the Hamming distance of fingerprints estimates J. The
-fingerprint is split into blocks; by the pigeonhole principle a pair that
-differs in fewer symbols than there are blocks shares a whole block, and closer
-pairs than the threshold share one with near certainty even beyond that bound.
+1 - J of the symbols, so the Hamming distance of fingerprints, taken on one bit
+of each symbol, estimates J. The
+fingerprint is split into blocks, so many and so short that a pair of the least
+resemblance the share allows shares a whole block with near certainty.
 Pairs are found by an equality join on blocks, verified by the Hamming distance
 of their fingerprints, and then checked exactly on their pieces.
 
@@ -21,15 +21,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks and symbols per block. At a resemblance of 0.74 a pair misses all blocks with probability 4e-5.
-BLOCKS, PER_BLOCK = 40, 5
+#: Blocks and symbols per block. At the least resemblance of a share of 0.7 (7/13) a pair misses all blocks with probability 1.1e-5.
+BLOCKS, PER_BLOCK = 130, 4
 SYMBOLS = BLOCKS * PER_BLOCK
 _PRIME = np.uint64((1 << 61) - 1)
 _seeds = np.random.default_rng(20)
 _MULTIPLY = (_seeds.integers(1, 1 << 62, SYMBOLS, dtype=np.uint64) | np.uint64(1))
 _ADD = _seeds.integers(0, 1 << 62, SYMBOLS, dtype=np.uint64)
-#: Pieces hashed at once, which bounds the memory of a very long text.
-_CHUNK = 4096
+#: Pieces hashed at once, which bounds the memory of a very long text and stays within the cache.
+_CHUNK = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,16 +62,18 @@ def _block_keys(symbols: np.ndarray) -> np.ndarray:
     key = np.zeros(BLOCKS, dtype=np.uint64)
     for k in range(PER_BLOCK):
         key = _mix(key * np.uint64(0x100000001B3) + symbols[k::PER_BLOCK])
+    key = _mix(key ^ (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32)))
     return key.view(np.int64)
 
 
 def largest_distance(share: float) -> int:
-    """The Hamming distance up to which a pair is looked at: four standard deviations beyond that of the least resemblance.
+    """The differing bits up to which a pair is looked at: four standard deviations beyond those of the least resemblance.
 
-    If a share s of the pieces of either text stands in the other, J is at least s / (2 - s).
+    The bits of differing symbols are equal half of the time. If a share s of the pieces of either text stands in the other, J is at least s / (2 - s).
     """
     j = share / (2 - share)
-    return int(np.ceil(SYMBOLS * (1 - j) + 4 * np.sqrt(SYMBOLS * j * (1 - j))))
+    differing = (1 - j) / 2
+    return int(np.ceil(SYMBOLS * differing + 4 * np.sqrt(SYMBOLS * differing * (1 - differing))))
 
 
 def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7, size: int = 4, least_chars: int = 40) -> tuple[DataFrame, DataFrame]:
@@ -98,12 +100,13 @@ def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7
         for text in column:
             symbols = fingerprint(pieces(text, size))
             keys.append(_block_keys(symbols))
-            marks.append((symbols & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
+            marks.append(np.packbits((symbols & np.uint64(1)).astype(np.uint8)).tobytes())
         return pd.DataFrame({"keys": keys, "symbols": marks})
 
     @F.pandas_udf("int")
     def differing(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([int(np.count_nonzero(np.frombuffer(x, np.uint16) != np.frombuffer(y, np.uint16))) for x, y in zip(a, b)], dtype="int32")
+        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -(-SYMBOLS // 8)) for c in (a, b))
+        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1), dtype="int32")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -114,11 +117,11 @@ def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7
             out.append(shared * 1000 >= round(share * 1000) * max(len(p), len(q)))
         return pd.Series(out, dtype=bool)
 
-    # read for the blocks and twice for the symbols; half a kilobyte a text
+    # read for the blocks and twice for the symbols; one kilobyte a text
     sketches = texts.select("id", sketch("text").alias("s")).select("id", "s.keys", "s.symbols").persist(StorageLevel.MEMORY_AND_DISK)
-    blocks = sketches.select("id", F.posexplode("keys").alias("block", "key"))
-    a, b = blocks.select(F.col("id").alias("a"), "block", "key"), blocks.select(F.col("id").alias("b"), "block", "key")
-    candidates = a.join(b, ["block", "key"]).where("a < b").select("a", "b").distinct()
+    blocks = sketches.select("id", F.explode("keys").alias("key"))
+    a, b = blocks.select(F.col("id").alias("a"), "key"), blocks.select(F.col("id").alias("b"), "key")
+    candidates = a.join(b, "key").where("a < b").select("a", "b").distinct()
     marks = sketches.select("id", "symbols")
     near = (
         candidates.join(marks.select(F.col("id").alias("a"), F.col("symbols").alias("sa")), "a")
