@@ -43,6 +43,19 @@ def test_held_out(spark):
     assert sum(shares.values()) == len(fresh) + len(odd)
 
 
+def test_copied_cut(spark):
+    # one cut text, its last line short and broken, holds a third of all rows
+    rows, _ = make(3, 800)
+    broken = "胰头可见低密度灶，大小约12.3cm，考虑炎症可能。\n建议复查增强CT及肿瘤标"
+    rows += [(2000 + i, broken, "free") for i in range(400)]
+    model = cuts.fit(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert not set(cuts.shapes(broken.split("\n")[1])) & model.closing - {""}
+    assert len(broken) not in model.limits.get("free", ())
+    assert 120 in model.limits["short_field"] and "l:记录者：" in model.closing
+    assert not cuts.known_end(cuts.tail_of(broken), broken, model.closing)
+    assert cuts.score(spark.createDataFrame(rows[-1:], "doc_id bigint, text string, source string"), model).first()["chance"] >= cuts.CUT_AT
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert cuts.score(none, cuts.fit(none)).count() == 0

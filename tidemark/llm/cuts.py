@@ -9,7 +9,8 @@ both and scores every record.
 
 Two statistics cover the whole corpus: the shapes of last lines, since closing
 lines recur and broken lines do not, and the lengths of texts by source, since
-a limit shows as one length that many texts share.
+a limit shows as one length that many texts share. Both count distinct texts,
+since copies of a broken text recur too.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed features; rows taken for training (about so many, by a hash of the id), of which the intact ones count; cuts made of each.
+#: Hashed features; distinct texts taken for training (about so many, by a hash of the text), of which the intact ones count; cuts made of each.
 FEATURES, TRAIN_ROWS, CUTS = 1 << 16, 6000, 2
-#: A last line's shape (or mere lead) is a closing line if so large a share of all texts ends with it; a length is a limit at so large a share of its source.
+#: A last line's shape (or mere lead) is a closing line if so large a share of all distinct texts ends with it; a length is a limit at so large a share of its source.
 SHAPE_SHARE, LEAD_SHARE, LIMIT_SHARE, LEAST_SEEN = 0.001, 0.003, 0.02, 4
 CUT_AT = 0.5
 
@@ -171,29 +172,31 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learn closing shapes and limits from all rows of ``docs`` (doc_id, text, source), and the regression from a bounded sample of intact ones.
+    """Learn closing shapes and limits from all distinct texts of ``docs`` (doc_id, text, source), and the regression from a bounded sample of intact ones.
 
     Shapes and limits that come to the driver are bounded by the inverse of their least share.
     """
     texts = docs.where("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
+    distinct = texts.groupBy("text").agg(F.collect_set("source").alias("sources"))
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, source in zip(batch["text"], batch["source"]):
+            for text, sources in zip(batch["text"], batch["sources"]):
                 tail = tail_of(text)
-                out.append((source, "n", ""))
-                out.extend((source, "l", str(n)) for n in {len(text), len(tail.body), len(text.rstrip())})
+                out.append(("", "t", ""))
+                for source in sources:
+                    out.append((source, "n", ""))
+                    out.extend((source, "l", str(n)) for n in {len(text), len(tail.body), len(text.rstrip())})
                 if not tail.ellipsis and (ends_whole(tail.before) or entry_shape(tail.before)):
                     out.extend(("", "s", s) for s in shapes(tail.line) if s)
                 # a line with another behind it is whole, so its entry shape is that of a complete entry
                 out.extend(("", "s", f"e:{s}") for s in {entry_shape(x) for x in tail.body.split("\n")[:-1]} if s)
             yield pd.DataFrame(out, columns=["source", "kind", "value"]).value_counts().reset_index(name="n")
 
-    counts = texts.mapInPandas(ends, "source string, kind string, value string, n bigint").groupBy("source", "kind", "value").agg(F.sum("n").alias("n"))
-    counts = counts.where(f"kind = 'n' OR n >= {LEAST_SEEN}").persist()
-    totals = {r["source"]: r["n"] for r in counts.where("kind = 'n'").collect()}
-    total = sum(totals.values())
+    counts = distinct.mapInPandas(ends, "source string, kind string, value string, n bigint").groupBy("source", "kind", "value").agg(F.sum("n").alias("n"))
+    counts = counts.where(f"kind IN ('n', 't') OR n >= {LEAST_SEEN}").persist()
+    total = sum(r["n"] for r in counts.where("kind = 't'").collect())
     closing = frozenset(r["value"] for r in counts.where("kind = 's'").where(F.col("n") >= F.greatest(F.lit(LEAST_SEEN), F.when(F.col("value").startswith("l:"), LEAD_SHARE).otherwise(SHAPE_SHARE) * total)).collect())
     own = counts.where("kind = 'n'").select("source", F.col("n").alias("of"))
     common = counts.where("kind = 'l'").join(F.broadcast(own), "source").where(F.col("n") >= LIMIT_SHARE * F.col("of"))
@@ -203,10 +206,10 @@ def fit(docs: DataFrame) -> Model:
     counts.unpersist()
     frozen = {source: frozenset(v) for source, v in limits.items()}
 
-    # The sample: rows whose hash falls into a share that yields about TRAIN_ROWS, whatever the size of the corpus.
+    # The sample: distinct texts whose hash falls into a share that yields about TRAIN_ROWS, whatever the size of the corpus.
     cells = 1 << 30
     share = cells if total <= TRAIN_ROWS else max(1, cells * TRAIN_ROWS // total)
-    sample = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(cells)) < share).collect()
+    sample = texts.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(cells)) < share).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("source").alias("source")).collect()
     sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     rows: list[tuple[list[int], int]] = []
     for r in sample:
