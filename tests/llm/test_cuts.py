@@ -1,8 +1,15 @@
 import random
+import re
 
 from tidemark.llm import cuts
 
 PARTS = [["胰头", "胰尾", "肝门区"], ["可见", "未见"], ["低密度灶", "软组织增厚", "点状钙化"], ["，大小约"], ["12.3cm", "7.0cm", "25.9mm"], ["，与门静脉关系密切。", "，暂不作结论。", "，考虑炎症可能。"]]
+SCHEMA = "doc_id bigint, text string, source string"
+
+
+def rule(text):
+    """The plain rule that the model is compared with: whether a text ends without a closing mark."""
+    return not re.search(r"[。！？!?.…]['\"”’）)\]】]*$", cuts.tail_of(text).body.rstrip())
 
 
 def make(seed, n):
@@ -15,12 +22,12 @@ def make(seed, n):
             text = text[:120]
             if not text.endswith("。"):
                 cut.add(i)
-        elif source == "free" and draw.random() < 0.15:
+        elif source == "free" and draw.random() < 0.1:
             text = text[: draw.randint(30, len(text) - 3)]
             if not text.endswith("。"):
                 cut.add(i)
         elif draw.random() < 0.3:
-            text += draw.choice(["\n记录者：赵栩", "\nALT 5.5 U/L", "\n——", "余项从略……"])
+            text += draw.choice(["\n记录者：赵栩", "\nALT 5.5 U/L", "\n签名：钱屿", "余项从略……"])
         if draw.random() < 0.2:
             text += draw.choice(["\n[打印 2029-01-02 第3页]", "\n（导出时间 2029.1.2，批次7）"])
         rows.append((i, text, source))
@@ -28,34 +35,54 @@ def make(seed, n):
 
 
 def test_held_out(spark):
-    schema = "doc_id bigint, text string, source string"
-    rows, _ = make(1, 1200)
-    model = cuts.fit(spark.createDataFrame([(i, t, s, 0.5) for i, t, s in rows], schema + ", chance double"))
-    assert 120 in model.limits["short_field"]
+    rows, _ = make(1, 1600)
+    model = cuts.fit(spark.createDataFrame([(i, t, s, 0.5) for i, t, s in rows], SCHEMA + ", chance double"))
+    assert 120 in model.limits["short_field"] and not model.limits.get("free")
     fresh, cut = make(2, 600)
     odd = [(1000, None, "free"), (1001, "", "free"), (1002, " \n", None), (1003, "——", "new"), (1004, "可见低密度灶，大小约" * 3000, "new")]
-    scored = cuts.score(spark.createDataFrame(fresh + odd, schema), model)
-    got = {r["doc_id"] for r in scored.where("chance >= 0.5").collect()}
+    scored = cuts.score(spark.createDataFrame(fresh + odd, SCHEMA), model)
+    got = {r["doc_id"] for r in scored.where(f"chance >= {cuts.CUT_AT}").collect()}
     assert not got & {1000, 1001, 1002, 1003} and 1004 in got
     got -= {1004}
-    assert len(got & cut) >= 0.97 * len(cut) and len(got & cut) >= 0.97 * len(got)
+    assert len(got & cut) >= 0.95 * len(cut) and len(got & cut) >= 0.95 * len(got)
+    # the regression decides: on closing lines without a mark the rule and the model differ
+    by_rule = {i for i, t, _ in fresh if rule(t)}
+    assert by_rule != got and len(by_rule - cut) > 10 * len(got - cut)
     shares = {r["source"]: r["documents"] for r in cuts.by_source(scored).collect()}
     assert sum(shares.values()) == len(fresh) + len(odd)
 
 
+def test_the_limit_counts():
+    # one ending that is complete where it stands far below the limit, and cut where a text of the limit's length ends so
+    limits = {"s": frozenset({200})}
+    draw = random.Random(3)
+    line = lambda: "".join(draw.choice(p) for p in PARTS)
+    sample = [("".join(line() for _ in range(4)) + "附注" + draw.choice("甲乙丙丁戊"), "s") for _ in range(150)] + [("".join(line() for _ in range(4)), "s") for _ in range(900)]
+    model = cuts.Model(cuts.learn(sample, limits), limits)
+    short = "".join(line() for _ in range(4)) + "附注甲"
+    long = ("".join(line() for _ in range(12)))[:197] + "附注甲"
+    assert cuts.chance_of(short, "s", model) < 0.5 <= cuts.chance_of(long, "s", model)
+
+
+def test_artificial_cuts_know_where_they_are():
+    text = "第一句话已经写完。第二句话也写完了！Then one more. And the last"
+    marks = ("。", "！", ".")
+    for k in range(200):
+        for piece, label, _ in cuts.make_cuts(text + " " * (k % 2) + str(k) + "。"):
+            assert label == (not re.sub(r"[…]+$|\.\.\.$", "", piece).rstrip().endswith(marks)), piece
+
+
 def test_copied_cut(spark):
     # one cut text, its last line short and broken, holds a third of all rows
     rows, _ = make(3, 800)
     broken = "胰头可见低密度灶，大小约12.3cm，考虑炎症可能。\n建议复查增强CT及肿瘤标"
     rows += [(2000 + i, broken, "free") for i in range(400)]
-    model = cuts.fit(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
-    assert not set(cuts.shapes(broken.split("\n")[1])) & model.closing - {""}
+    model = cuts.fit(spark.createDataFrame(rows, SCHEMA))
     assert len(broken) not in model.limits.get("free", ())
-    assert 120 in model.limits["short_field"] and "l:记录者：" in model.closing
-    assert not cuts.known_end(cuts.tail_of(broken), broken, model.closing)
-    assert cuts.score(spark.createDataFrame(rows[-1:], "doc_id bigint, text string, source string"), model).first()["chance"] >= cuts.CUT_AT
+    assert 120 in model.limits["short_field"]
+    assert cuts.score(spark.createDataFrame(rows[-1:], SCHEMA), model).first()["chance"] >= cuts.CUT_AT
 
 
 def test_empty(spark):
-    none = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    none = spark.createDataFrame([], SCHEMA)
     assert cuts.score(none, cuts.fit(none)).count() == 0

@@ -1,16 +1,17 @@
 """Text cut off by field limits.
 
 What a system prints behind a text (page marks, export lines, an ellipsis) is
-set aside first. Intact values, those that end with a full sentence, a known
-closing line or an entry shaped like the entries before it, are cut artificially
-to make positives; a logistic regression over hashed features of the closing
-characters, punctuation and distance to the source's length limits is trained on
-both and scores every record.
-
-Two statistics cover the whole corpus: the shapes of last lines, since closing
-lines recur and broken lines do not, and the lengths of texts by source, since
-a limit shows as one length that many texts share. Both count distinct texts,
-since copies of a broken text recur too.
+set aside first. Intact values are texts shorter than every length limit of
+their source; they are cut artificially at positions drawn from their whole
+length, half of the cuts as by a limit and half as by a broken transfer. Whether
+a cut is a positive follows from where it was made: inside a sentence or entry
+of the intact value, or between two. A logistic regression over hashed features
+of the closing characters, the punctuation, the last line and the distance to
+the limit is trained on both and alone decides on every record.
+
+One statistic covers the whole corpus: how many distinct texts of a source have
+a length, since a limit shows as one length that many texts share. Copies count
+once, since copies of a broken text share its length too.
 """
 
 from __future__ import annotations
@@ -22,40 +23,41 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashed features; distinct texts taken for training (about so many, by a hash of the text), of which the intact ones count; cuts made of each.
-FEATURES, TRAIN_ROWS, CUTS = 1 << 16, 6000, 2
-#: A last line's shape (or mere lead) is a closing line if so large a share of all distinct texts ends with it; a length is a limit at so large a share of its source.
-SHAPE_SHARE, LEAD_SHARE, LIMIT_SHARE, LEAST_SEEN = 0.001, 0.003, 0.02, 4
+#: Hashed features; distinct texts taken for training (about so many, by a hash of the text); cuts made of each.
+FEATURES, TRAIN_ROWS, CUTS = 1 << 16, 8000, 1
+#: A length is a limit at so large a share of the distinct texts of its source, and at so many of them, if no more texts are longer.
+LIMIT_SHARE, LEAST_SEEN = 0.02, 4
 CUT_AT = 0.5
+#: Times that values broken in transfer are sought among those taken as intact, and the log odds below which one stays.
+CLEANINGS, SURELY_INTACT = 3, -1.0
 
 # Marks that systems print behind a text.
-_ADDED = re.compile(
+_MARKS = (
     r"(?:\s*(?:\[[^\[\]\n]{0,12}\d{4}[-./]\d{1,2}[-./]\d{1,2}[^\[\]\n]{0,12}\]|（[^（）\n]{0,8}\d{4}[-./]\d{1,2}[-./]\d{1,2}[^（）\n]{0,12}）|--? ?\d{4}[-./]\d{1,2}[-./]\d{1,2} ?/ ?\d+ ?--?"
     r"|\((?:page|p\.) ?\d+ (?:of|/) ?\d+\)|(?:[Pp]age|PAGE) \d+(?: of \d+)?|第\d+页(?:/?共\d+页)?|【以下空白】|——+|-- ?end ?--|END OF REPORT))+\s*$"
 )
-_COMPLETE = re.compile(r"[。！？!?]['\"”’）)\]】]*$|(?<!\d)\.['\"”’)\]]*$|（完）$|[.…。]{2,}$")
-_AFTER_NUMBER = re.compile(r"(\d\.)?\d+\.$")
-_HAN = re.compile("[一-鿿]")
+_ADDED, _REACH = re.compile(_MARKS), 64
 _ELLIPSIS = re.compile(r"(?:…+|\.{3,})\s*$")
-# Phrases that make an ellipsis a complete ending.
-_AND_SO_ON = re.compile(r"(?:余项从略|从略|略|等等|and so on|etc\.?)\s*(?:…+|\.{3,})\s*$", re.IGNORECASE)
+_SENTENCE = re.compile(r"[。！？!?]['\"”’）)\]】]*\s*|\.['\"”’)\]]*(?:\s+|$)|\n\s*")
+_MASK = re.compile(r"\d+|[a-zà-ÿ]+|[A-ZÀ-Þ]|[一-鿿]")
+_TOKEN = re.compile(r"\d+(?:\.\d+)?|[一-鿿]+|[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'\-]*|\s+|.")
+_ENTRY = re.compile(r"\s*[^：:\n]{1,24}[：:]\s*(?=[-<>]?\d)")
+_DECIMAL = re.compile(r"\d+\.\d+")
+_CLAUSE = re.compile(r"[，,；;：:。.！？!?\n]")
 
 
-def ends_whole(body: str) -> bool:
-    """Whether a text ends with a mark that closes a sentence. In Chinese text, a point behind a whole number is that of a broken decimal."""
-    if m := _AFTER_NUMBER.search(body):
-        return bool(m[1]) or not _HAN.search(body[-30:])
-    return bool(_COMPLETE.search(body))
+def _mask(text: str) -> str:
+    return _MASK.sub(lambda m: "0" if m[0][0].isdigit() else "汉" if "一" <= m[0] <= "鿿" else "W" if m[0].isupper() else "w", text)
 
 
 class Tail(NamedTuple):
-    """The end of a text: what is left without additions, whether an ellipsis stood behind it, its last line, its line before."""
+    """The end of a text: what is left without additions, the ellipsis behind it, its last line, its line before."""
 
     body: str
-    ellipsis: bool
+    ellipsis: str
     line: str
     before: str
 
@@ -63,15 +65,16 @@ class Tail(NamedTuple):
 def tail_of(text: str) -> Tail:
     """Set additions aside and take the end of a text apart."""
     body = text
-    while m := _ADDED.search(body):
+    # a mark is shorter than the reach, and what is longer goes in several rounds
+    while m := _ADDED.search(body, max(0, len(body.rstrip()) - _REACH)):
         if m.start() == len(body):
             break
         body = body[: m.start()]
         if not body.strip():
             break
-    ellipsis = False
-    if (m := _ELLIPSIS.search(body)) and not _AND_SO_ON.search(body):
-        body, ellipsis = body[: m.start()], True
+    ellipsis = ""
+    if m := _ELLIPSIS.search(body):
+        body, ellipsis = body[: m.start()], m[0].strip()
     lines = body.rstrip("\n\r").rsplit("\n", 2)
     return Tail(body, ellipsis, lines[-1], lines[-2].rstrip() if len(lines) > 1 else "")
 
@@ -79,76 +82,97 @@ def tail_of(text: str) -> Tail:
 def shapes(line: str) -> list[str]:
     """Shapes of a short line: its lead, or its first or last token verbatim with digits as 0 and other words masked. Long lines have none."""
     line = line.strip()
-    if not line or len(line) > 40 or ends_whole(line):
+    if not line or len(line) > 40:
         return []
-    tokens = re.findall(r"\d+(?:\.\d+)?|[一-鿿]+|[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'\-]*|\s+|.", line)
+    tokens = _TOKEN.findall(line)
     masked = ["0" if t[0].isdigit() else "汉" if "一" <= t[0] <= "鿿" else "W" if t[0].isalpha() and t[0].isupper() else "w" if t[0].isalpha() else " " if t.isspace() else t for t in tokens]
-    if len(tokens) < 2:
-        return []
-    whole = "".join("0" if m == "0" else t for t, m in zip(tokens, masked))
-    lead = f"l:{tokens[0]}{tokens[1]}" if tokens[1] in "：:,，" and masked[0] != "0" else ""
-    return list(dict.fromkeys([lead, f"a:{tokens[0]}{''.join(masked[1:])}" if masked[0] != "0" else "", f"z:{''.join(masked[:-1])}{tokens[-1]}" if masked[-1] != "0" else "", f"w:{whole}"]))
+    out = [f"m:{''.join(masked)}"]
+    if len(tokens) > 1:
+        if tokens[1] in "：:,，" and masked[0] != "0":
+            out.append(f"l:{tokens[0]}{tokens[1]}")
+        out.append(f"a:{tokens[0] if masked[0] != '0' else '0'}{''.join(masked[1:])}")
+        out.append(f"z:{''.join(masked[:-1])}{tokens[-1] if masked[-1] != '0' else '0'}")
+    return out
 
 
 def entry_shape(line: str) -> str:
-    """Shape of a list entry: its name masked, digits as 0, the rest verbatim; blank for lines that are no entry."""
-    m = re.match(r"\s*[^：:\n]{1,24}[：:]\s*(?=[-<>]?\d)", line)
-    return "" if m is None or len(line) > m.end() + 24 else re.sub(r"\d+\.\d+", "0.0", line[m.end() :])
+    """Shape of a list entry: its name left out, digits as 0, the rest verbatim; blank for lines that are no entry."""
+    m = _ENTRY.match(line)
+    return "" if m is None or len(line) > m.end() + 24 else _DECIMAL.sub("0.0", line[m.end() :])
 
 
-def known_end(tail: Tail, text: str, closing: frozenset[str]) -> bool:
-    """Whether a text ends in a way that is known to be complete."""
-    body = tail.body.rstrip()
-    if tail.ellipsis or not body:
-        return False
-    if ends_whole(body) or _AND_SO_ON.search(body):
-        return True
-    if entry := entry_shape(tail.line):
-        return f"e:{entry}" in closing or any(entry == entry_shape(x) for x in tail.body.split("\n")[:-1])
-    return bool(ends_whole(tail.before) or entry_shape(tail.before)) and any(s in closing for s in shapes(tail.line) if s)
+def limit_distance(text: str, tail: Tail, limits: frozenset[int]) -> str:
+    """How far the text lies below the nearest limit of its source it could have met: at, 1 to 8, more, or none."""
+    lengths = {len(text), len(tail.body), len(text.rstrip()), len(tail.body.rstrip())}
+    if lengths & limits:
+        return "at"
+    below = [limit - len(tail.body) for limit in limits if limit > len(tail.body)]
+    return "none" if not limits else "beyond" if not below else "near" if min(below) <= 8 else "far"
 
 
-def features(text: str, tail: Tail, closing: frozenset[str], limits: frozenset[int]) -> list[int]:
-    """Hashed features of the end of a text."""
+def features(text: str, tail: Tail, limits: frozenset[int], with_limit: bool = True) -> list[int]:
+    """Hashed features of the end of a text; ``with_limit`` leaves out the distance to the limit if false."""
     body = tail.body.rstrip()
-    at_limit = len(text) in limits or len(tail.body) in limits or len(text.rstrip()) in limits
-    last = re.sub(r"[一-鿿]", "汉", re.sub(r"[a-z]+", "w", re.sub(r"\d+", "0", body[-8:])))
-    complete, known = ends_whole(body), known_end(tail, text, closing)
+    limit = limit_distance(text, tail, limits) if with_limit else ""
+    masked = _mask(body[-12:])
+    ell = "…" if tail.ellipsis else ""
+    entry = entry_shape(tail.line)
+    entries = {entry_shape(x) for x in tail.body.split("\n")[:-1]} - {""} if entry or _ENTRY.match(tail.before) else set()
     opened = sum(body.count(c) for c in "（(【[“「") - sum(body.count(c) for c in "）)】]”」")
+    script = "汉" if re.search(r"[一-鿿]", body[-30:]) else "w"
+    clause = min(8, len(_CLAUSE.split(body[-60:])[-1]) // 4)
+    last = body[-1:]
+    prior = _mask(tail.before[-1:])
     names = [
-        "bias", f"limit={at_limit}", f"ellipsis={tail.ellipsis}", f"complete={complete}", f"known={known}", f"open={opened > 0}",
-        f"c1={body[-1:]}", f"c2={body[-2:]}", f"c3={body[-3:]}", f"s4={last[-4:]}", f"s4={last[-4:]}&limit={at_limit}",
-        f"blank={tail.body != body}", f"short={len(tail.line) < 40}&known={known}", f"clause={min(8, len(re.split(r'[，,；;。.]', body)[-1]) // 3)}",
-        f"empty={not body}", f"known={known}&complete={complete}&limit={at_limit}", f"known={known}&c1={body[-1:]}", f"words={re.sub(r'[0-9]+', '0', ' '.join(body[-40:].split()[-2:])) if body[-1:].isascii() else ''}", f"point={bool(re.search(r'[0-9][.]$', body))}&limit={at_limit}",
-        f"script={bool(re.search(r'[一-鿿]', body[-30:]))}&point={body[-1:] == '.'}",
+        "bias", f"limit={limit}", f"limit={limit}&m1={masked[-1:]}", f"limit={limit}&m2={masked[-2:]}", f"limit={limit}&entry={entry}", f"ell={ell}&c2={body[-2:]}", f"ell={ell}&m1={masked[-1:]}&limit={limit}",
+        f"open={opened > 0}", f"c1={last}{script}", f"c1={last}{script}{ell}&limit={limit}", f"c2={body[-2:]}", f"m3={masked[-3:]}{script}", f"m4={masked[-4:]}", f"m6={masked[-6:]}", f"m3={masked[-3:]}{script}&limit={limit}",
+        f"blank={tail.body[len(body):][:1]!r}&m1={masked[-1:]}", f"clause={clause}&m1={masked[-1:]}", f"lines={len(tail.line) // 10 if len(tail.line) < 60 else 'long'}&m1={masked[-1:]}&prior={prior}", f"empty={not body}",
+        f"word={body.split()[-1] if body and last.isascii() and last.isalpha() else ''}", 
+        f"entry={bool(entry)}&seen={entry in entries}", f"entry={entry}&seen={entry in entries}", f"entries={bool(entries)}&entry={bool(entry)}&m1={masked[-1:]}",
     ]
-    return [zlib.crc32(n.encode()) % FEATURES for n in names]
+    names.extend(f"{s}&prior={prior}" for s in shapes(tail.line))
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names]
 
 
-def make_cuts(doc_id: int, tail: Tail, closing: frozenset[str], limits: frozenset[int]) -> list[str]:
-    """Cut an intact text so that it stops inside a sentence or entry, at a limit of its source where it has one in reach. A stop that looks complete teaches nothing and is left out."""
-    out = []
-    body = tail.body.rstrip()
-    for k in range(CUTS):
-        draw = zlib.crc32(f"{doc_id}/{k}".encode())
+def make_cuts(text: str, limits: frozenset[int] = frozenset(), many: int = CUTS) -> list[tuple[str, int, frozenset[int]]]:
+    """Artificial cuts of an intact text: (piece, 1 if the cut lies inside a sentence or entry and 0 if between two, the limits to look at).
+
+    Positions are drawn evenly; every eighth is moved to the next end of a
+    sentence. Half of the cuts are made as by a field limit, so that their own
+    length is one. Systems drop blanks at the end of a piece, and sometimes add
+    some or an ellipsis. Cuts at the end of a line without a closing mark may be
+    either and are left out.
+    """
+    body = tail_of(text).body.rstrip()
+    marks = [(m.start() + len(m[0].rstrip()), bool(m[0].strip())) for m in _SENTENCE.finditer(body)]
+    ends = {at for at, marked in marks if marked}
+    unsure = {at for at, marked in marks if not marked}
+    key, out = zlib.crc32(text.encode("utf-8", "surrogatepass")), []
+    for k in range(many):
+        draw = zlib.crc32(f"{key}/{k}".encode())
         at = 1 + draw % max(1, len(body) - 1)
-        if (near := [n for n in limits if n < len(body)]) and draw % 2:
-            at = near[draw % len(near)]
-        piece = body[:at]
-        broken = at in limits and re.search(r"(?:^|[^\d.])\d+\.$", piece)
-        complete = known_end(tail_of(piece), piece, closing) and not broken
-        if not piece.strip() or complete or body[at : at + 1] in ("", "\n"):
+        if draw // 32 % 8 == 0:
+            at = min((end for end in ends if end >= at), default=at)
+        piece = body[:at].rstrip()
+        if at >= len(body) or not piece or len(piece) in unsure:
             continue
-        out.append(piece + ("…" if draw % 11 == 0 else ""))
+        behind = {0: "……", 1: "…", 2: "...", 3: "  ", 4: "\n"}.get(draw // 512 % 40, "")
+        out.append((piece + behind, int(len(piece) not in ends), limits | {len(piece)} if draw // 16 % 2 else limits))
     return out
 
 
-def train(rows: list[tuple[list[int], int]], rounds: int = 30, rate: float = 0.5, batch: int = 32) -> np.ndarray:
+def train(rows: list[tuple[list[int], int]], rounds: int = 12, rate: float = 0.5, batch: int = 32) -> np.ndarray:
     """Logistic regression by gradient descent with a rate of its own for each feature, over small batches in a fixed order."""
     weights, squares = np.zeros(FEATURES), np.full(FEATURES, 1e-6)
     if not rows:
         return weights
-    active, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    width = max(len(r[0]) for r in rows)
+    # rows have different numbers of features: the rest points at a cell that stays zero
+    active = np.full((len(rows), width), FEATURES)
+    for i, (names, _) in enumerate(rows):
+        active[i, : len(names)] = names
+    weights, squares = np.append(weights, 0.0), np.append(squares, 1.0)
+    labels = np.array([r[1] for r in rows], dtype=float)
     order = np.random.default_rng(9)
     for _ in range(rounds):
         shuffled = order.permutation(len(rows))
@@ -156,87 +180,106 @@ def train(rows: list[tuple[list[int], int]], rounds: int = 30, rate: float = 0.5
             part = shuffled[at : at + batch]
             columns = active[part]
             error = labels[part] - 1.0 / (1.0 + np.exp(-np.clip(weights[columns].sum(axis=1), -30, 30)))
-            gradient = np.bincount(columns.ravel(), np.repeat(error, columns.shape[1]), FEATURES)
-            touched = np.unique(columns)
-            squares[touched] += gradient[touched] ** 2
-            weights[touched] += rate * gradient[touched] / np.sqrt(squares[touched])
-    return weights
+            touched, where = np.unique(columns, return_inverse=True)
+            gradient = np.bincount(where.ravel(), np.repeat(error, width), len(touched))
+            gradient[touched == FEATURES] = 0.0
+            squares[touched] += gradient**2
+            weights[touched] += rate * gradient / np.sqrt(squares[touched])
+    return weights[:FEATURES]
 
 
 class Model(NamedTuple):
-    """What scoring needs: weights, closing shapes, limits by source."""
+    """What scoring needs: weights, limits by source."""
 
     weights: np.ndarray
-    closing: frozenset[str]
     limits: dict[str, frozenset[int]]
 
 
-def fit(docs: DataFrame) -> Model:
-    """Learn closing shapes and limits from all distinct texts of ``docs`` (doc_id, text, source), and the regression from a bounded sample of intact ones.
+def find_limits(docs: DataFrame) -> dict[str, frozenset[int]]:
+    """The length limits of each source, from all distinct texts of ``docs`` (text, source).
 
-    Shapes and limits that come to the driver are bounded by the inverse of their least share.
+    Counted inside the JVM. Of a source at most 1 / ``LIMIT_SHARE`` limits come
+    to the driver, three lengths a text.
     """
-    texts = docs.where("text IS NOT NULL AND trim(text) <> ''").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
-    distinct = texts.groupBy("text").agg(F.collect_set("source").alias("sources"))
-
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text, sources in zip(batch["text"], batch["sources"]):
-                tail = tail_of(text)
-                out.append(("", "t", ""))
-                for source in sources:
-                    out.append((source, "n", ""))
-                    out.extend((source, "l", str(n)) for n in {len(text), len(tail.body), len(text.rstrip())})
-                if not tail.ellipsis and (ends_whole(tail.before) or entry_shape(tail.before)):
-                    out.extend(("", "s", s) for s in shapes(tail.line) if s)
-                # a line with another behind it is whole, so its entry shape is that of a complete entry
-                out.extend(("", "s", f"e:{s}") for s in {entry_shape(x) for x in tail.body.split("\n")[:-1]} if s)
-            yield pd.DataFrame(out, columns=["source", "kind", "value"]).value_counts().reset_index(name="n")
-
-    counts = distinct.mapInPandas(ends, "source string, kind string, value string, n bigint").groupBy("source", "kind", "value").agg(F.sum("n").alias("n"))
-    counts = counts.where(f"kind IN ('n', 't') OR n >= {LEAST_SEEN}").persist()
-    total = sum(r["n"] for r in counts.where("kind = 't'").collect())
-    closing = frozenset(r["value"] for r in counts.where("kind = 's'").where(F.col("n") >= F.greatest(F.lit(LEAST_SEEN), F.when(F.col("value").startswith("l:"), LEAD_SHARE).otherwise(SHAPE_SHARE) * total)).collect())
-    own = counts.where("kind = 'n'").select("source", F.col("n").alias("of"))
-    common = counts.where("kind = 'l'").join(F.broadcast(own), "source").where(F.col("n") >= LIMIT_SHARE * F.col("of"))
+    texts = docs.where("text IS NOT NULL AND trim(text) <> ''").select(F.coalesce("source", F.lit("")).alias("source"), "text")
+    # marks stand at the very end, so the pattern is tried on no more than that
+    end = F.right("text", F.lit(6 * _REACH))
+    body = F.length("text") - F.length(end) + F.length(F.regexp_replace(end, _MARKS, ""))
+    lengths = texts.select("source", F.xxhash64("text").alias("h"), body.alias("body"), F.array_distinct(F.array(F.length("text"), F.length(F.rtrim("text")), body)).alias("n"))
+    distinct = lengths.dropDuplicates(["source", "h"])
+    counts = distinct.select("source", "body", F.explode("n").alias("n")).groupBy("source", "n").agg(F.count("*").alias("c"), F.count_if(F.col("body") == F.col("n")).alias("bodies"))
+    # of a source and length there is one row by now
+    longer = Window.partitionBy("source").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("longer", F.coalesce(F.sum("bodies").over(longer), F.lit(0))).withColumn("of", F.sum("bodies").over(Window.partitionBy("source")))
     limits: dict[str, set[int]] = {}
-    for r in common.collect():
-        limits.setdefault(r["source"], set()).add(int(r["value"]))
-    counts.unpersist()
-    frozen = {source: frozenset(v) for source, v in limits.items()}
+    for r in ranked.where((F.col("c") >= LEAST_SEEN) & (F.col("c") >= LIMIT_SHARE * F.col("of")) & (F.col("longer") <= F.col("c"))).collect():
+        limits.setdefault(r["source"], set()).add(int(r["n"]))
+    return {source: frozenset(v) for source, v in limits.items()}
 
-    # The sample: distinct texts whose hash falls into a share that yields about TRAIN_ROWS, whatever the size of the corpus.
+
+def training_sample(docs: DataFrame, most: int = TRAIN_ROWS) -> list[tuple[str, str]]:
+    """About ``most`` distinct (text, source), chosen by a hash of the text whatever the size of the corpus."""
+    texts = docs.where("text IS NOT NULL AND trim(text) <> ''").select("text", F.coalesce("source", F.lit("")).alias("source"))
+    total = texts.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
     cells = 1 << 30
-    share = cells if total <= TRAIN_ROWS else max(1, cells * TRAIN_ROWS // total)
-    sample = texts.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(cells)) < share).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("source").alias("source")).collect()
-    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
-    rows: list[tuple[list[int], int]] = []
-    for r in sample:
-        tail, own_limits = tail_of(r["text"]), frozen.get(r["source"], frozenset())
-        if not known_end(tail, r["text"], closing):
+    share = cells if total <= most else max(1, cells * most // total)
+    sample = texts.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(cells)) < share).groupBy("text").agg(F.min("source").alias("source"))
+    return sorted((r["text"], r["source"]) for r in sample.collect())
+
+
+def examples(sample: list[tuple[str, str]], limits: dict[str, frozenset[int]], with_limit: bool = True) -> list[tuple[list[int], int]]:
+    """Features and labels: values shorter than every limit of their source as intact ones, and their artificial cuts."""
+    rows = []
+    for text, source in sample:
+        own = limits.get(source, frozenset())
+        tail = tail_of(text)
+        if not tail.body.strip() or (own and len(tail.body) >= min(own)):
             continue
-        rows.append((features(r["text"], tail, closing, own_limits), 0))
-        for piece in make_cuts(r["doc_id"], tail, closing, own_limits):
-            rows.append((features(piece, tail_of(piece), closing, own_limits), 1))
-    return Model(train(rows), closing, frozen)
+        rows.append((features(text, tail, own, with_limit), 0))
+        rows.extend((features(piece, tail_of(piece), at, with_limit), label) for piece, label, at in make_cuts(text, own))
+    return rows
+
+
+def fit(docs: DataFrame) -> Model:
+    """Learn the limits from all distinct texts of ``docs`` (doc_id, text, source), and the regression from a bounded sample of them."""
+    limits = find_limits(docs)
+    return Model(learn(training_sample(docs), limits), limits)
+
+
+def learn(sample: list[tuple[str, str]], limits: dict[str, frozenset[int]], with_limit: bool = True) -> np.ndarray:
+    """The weights from a sample.
+
+    Some values taken as intact were broken in transfer. Each half of the sample
+    is scored by a regression trained on the other half, and those that it calls
+    cut are left out of the last training.
+    """
+    # edited copies of one text end alike and stay together
+    side = lambda text: zlib.crc32(tail_of(text).body.rstrip()[-24:].encode("utf-8", "surrogatepass")) % 2
+    halves = [[r for r in sample if side(r[0]) == k] for k in (0, 1)]
+    rows = [examples(half, limits, with_limit) for half in halves]
+    kept = list(rows)
+    for _ in range(CLEANINGS):
+        weights = [train(half, rounds=6) for half in kept]
+        kept = [[r for r in rows[k] if r[1] or weights[1 - k][r[0]].sum() < SURELY_INTACT] for k in (0, 1)]
+    return train(kept[0] + kept[1])
+
+
+def chance_of(text: str | None, source: str | None, model: Model) -> float:
+    """The chance that a text is cut; null, empty and blank texts have none."""
+    tail = tail_of(text) if text and text.strip() else None
+    if tail is None or not tail.body.strip():
+        return 0.0
+    active = features(text, tail, model.limits.get(source or "", frozenset()))
+    return float(1.0 / (1.0 + np.exp(-np.clip(model.weights[active].sum(), -30, 30))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, source, chance) of being cut, for every row of ``docs``; null, empty and blank texts have chance 0."""
-    weights, closing, limits = model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text, source in zip(batch["text"], batch["source"]):
-                tail = tail_of(text) if text and text.strip() else None
-                if tail is None or not tail.body.strip():
-                    out.append(0.0)
-                    continue
-                active = features(text, tail, closing, limits.get(source or "", frozenset()))
-                out.append(float(1.0 / (1.0 + np.exp(-np.clip(weights[active].sum(), -30, 30)))))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "chance": out})
+            out = [chance_of(text, source, model) for text, source in zip(batch["text"], batch["source"])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "chance": pd.Series(out, dtype="float64")})
 
     return docs.select("doc_id", "text", "source").mapInPandas(run, "doc_id bigint, source string, chance double")
 
