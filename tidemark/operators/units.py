@@ -12,58 +12,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.width import narrow
-from tidemark.operators.spellings import alias_dictionary, folded
-from tidemark.session import cut
-
-# Metric prefixes and what they measure, in Latin and Chinese spelling.
-_PREFIXES = (("", "", 1.0), ("k", "千", 1e3), ("d", "分", 1e-1), ("m", "毫", 1e-3), ("u", "微", 1e-6), ("mc", "", 1e-6), ("n", "纳", 1e-9), ("p", "皮", 1e-12))
-_AMOUNTS = (
-    ("amount", ("mol",), "摩尔", 1.0), ("amount", ("eq",), "当量", 1.0), ("mass", ("g",), "克", 1.0),
-    ("activity", ("u", "iu", "unit", "units"), "单位", 1.0), ("activity", ("iu",), "国际单位", 1.0), ("activity", ("kat",), "卡塔尔", 6e7),
-)
-_VOLUMES = (("l", "升", 1.0), ("dl", "分升", 1e-1), ("ml", "毫升", 1e-3), ("ul", "微升", 1e-6))
-# Units outside the rule, as (dimension, factor to the dimension's base, spellings).
-_OTHERS = (
-    ("amount", 1e-3, ("mm",)), ("amount", 1e-6, ("um", "mcm")), ("amount", 1.0, ("molar",)), ("amount", 1e-9, ("nm",)),
-    ("mass", 1e-2, ("mg%",)), ("mass", 10.0, ("g%",)),
-    ("count", 1.0, ("10^9/l", "x10e9/l", "10*9/l", "x10^9/l", "10e9/l", "x10*9/l", "109/l", "x109/l", "giga/l", "gpt/l")),
-    ("count", 1e-3, ("10^6/l", "x10^6/l", "10*6/l", "x10e6/l", "10e6/l", "106/l", "/ul", "cells/ul", "cell/ul", "个/微升", "/微升", "/mm3", "/mm^3", "cells/mm3", "/cumm")),
-    ("count", 1.0, ("10^3/ul", "x10^3/ul", "10*3/ul", "x10e3/ul", "10e3/ul", "103/ul", "k/ul", "千/微升", "10^3/mm3", "x10^3/mm3", "thou/ul")),
-    ("count", 10.0, ("10^4/ul", "x10^4/ul", "10*4/ul", "x10e4/ul", "104/ul", "万/微升", "万/ul")),
-    ("count", 1e3, ("10^12/l", "x10^12/l", "10*12/l", "x10e12/l", "10^6/ul", "x10^6/ul", "10*6/ul")),
-    ("count", 1e-9, ("/l",)),
-    ("share", 1.0, ("%", "percent", "pct", "百分比", "ml/dl")), ("share", 0.1, ("‰", "permille")), ("share", 100.0, ("l/l", "1", "g/g")),
-    ("time", 1.0, ("s", "sec", "secs", "second", "seconds", "秒")), ("time", 60.0, ("min", "mins", "minute", "分", "分钟")), ("time", 1e-3, ("ms", "msec", "毫秒")), ("time", 3600.0, ("h", "小时")),
-    ("warmth", 1.0, ("cel", "°c", "℃", "degc", "c", "摄氏度", "celsius")), ("warmth_f", 1.0, ("degf", "°f", "℉", "f", "华氏度", "fahrenheit", "[degf]")),
+from tidemark.operators.spellings import UNITS, alias_dictionary, folded
+
+# Metric prefixes, and what units are made of, in Latin and Chinese spelling.
+_PREFIXES = (("", "", 1.0), ("k", "千", 1e3), ("d", "分", 1e-1), ("m", "毫", 1e-3), ("u", "微", 1e-6), ("n", "纳", 1e-9), ("p", "皮", 1e-12))
+_QUANTITIES = (("amount", "mol", "摩尔", 1.0), ("amount", "eq", "当量", 1.0), ("mass", "g", "克", 1.0), ("activity", "u", "单位", 1.0), ("activity", "iu", "国际单位", 1.0), ("activity", "unit", "", 1.0), ("activity", "kat", "卡塔尔", 6e7))
+_VOLUMES = (("l", "升", 1.0), ("dl", "分升", 1e-1), ("ml", "毫升", 1e-3), ("ul", "微升", 1e-6), ("mm3", "立方毫米", 1e-6))
+_COUNTS = (("", 1.0), ("个", 1.0), ("cell", 1.0), ("k", 1e3), ("千", 1e3), ("万", 1e4), *((f"10^{n}", 10.0**n) for n in (3, 4, 6, 9, 12)))
+# Names of the units that are not made by the rule, as (dimension, factor to the base, names).
+_NAMES = (
+    ("share", 1.0, ("%", "percent")), ("share", 0.1, ("‰", "permille")), ("share", 100.0, ("g/g",)),
+    ("time", 1.0, ("s", "second", "秒")), ("time", 60.0, ("min", "minute", "分", "分钟")), ("time", 1e-3, ("ms", "millisecond", "毫秒")), ("time", 3600.0, ("h", "hour", "小时")),
+    ("warmth", 1.0, ("cel", "celsius", "°c", "摄氏度")), ("warmth_f", 1.0, ("°f", "fahrenheit", "华氏度")),
     ("pressure", 1.0, ("mmhg", "torr", "毫米汞柱")), ("pressure", 7.50062, ("kpa", "千帕")), ("pressure", 0.00750062, ("pa", "帕")),
-    ("volume", 1.0, ("ml", "毫升", "cc", "cm3", "cm^3")), ("volume", 1e3, ("l", "升")), ("volume", 1e2, ("dl", "分升")), ("volume", 1e-3, ("ul", "微升")),
+    ("volume", 1.0, ("cc", "cm3")),
 )
 
 
 def unit_table() -> list[tuple[str, str, float]]:
-    """All unit spellings as (folded spelling, dimension, factor to the base of the dimension)."""
+    """The canonical units, made by rule, as (folded spelling, dimension, factor to the base of the dimension)."""
     table: dict[str, tuple[str, float]] = {}
-    for latin, han, scale in _PREFIXES:
-        for dimension, names, name, base in _AMOUNTS:
+    for prefix, han, scale in _PREFIXES:
+        for dimension, unit, name, base in _QUANTITIES:
             for volume, vessel, litres in _VOLUMES:
-                value = (dimension, scale * base / litres)
-                for unit in names:
-                    table.setdefault(f"{latin}{unit}/{volume}", value)
-                if latin != "mc":
-                    table.setdefault(f"{han}{name}/{vessel}", value)
-    for dimension, factor, spellings in _OTHERS:
-        for spelling in spellings:
-            table[spelling] = (dimension, factor)
+                table.setdefault(f"{prefix}{unit}/{volume}", (dimension, scale * base / litres))
+                if name:
+                    table.setdefault(f"{han}{name}/{vessel}", (dimension, scale * base / litres))
+        table.setdefault(f"{prefix}g%", ("mass", scale * 10))
+        if prefix:  # molar; M alone says nothing
+            table.setdefault(f"{prefix}m", ("amount", scale))
+    for volume, vessel, litres in _VOLUMES:
+        for count, number in _COUNTS:
+            for place in (volume, vessel):
+                table.setdefault(f"{count}/{place}", ("count", number / litres / 1e9))
+        for other, _, more in _VOLUMES:
+            table.setdefault(f"{volume}/{other}", ("share", 100 * litres / more))
+        for place in (volume, vessel):
+            table.setdefault(place, ("volume", litres * 1e3))
+    for dimension, factor, names in _NAMES:
+        for name in names:
+            table[name] = (dimension, factor)
     return [(spelling, dimension, factor) for spelling, (dimension, factor) in table.items()]
 
 
 def folded_unit(col: Column) -> Column:
-    """A unit spelling narrow, in lower case, without blanks and outer brackets, micro as ``u``, raised digits as ``^n``."""
-    text = F.lower(narrow(col))
-    text = F.regexp_replace(text, "([⁰¹²³⁴⁵⁶⁷⁸⁹]+)", "^$1")
-    text = F.translate(text, "µμ×⁰¹²³⁴⁵⁶⁷⁸⁹", "uux0123456789")
-    text = F.regexp_replace(text, r"\s+", "")
-    return F.regexp_replace(text, r"^[\[(](.*)[\])]$", "$1")
+    """A unit spelling narrow, in lower case, without blanks and outer brackets, micro as ``u``, degrees as ``°``, raised digits as ``^n``."""
+    text = F.regexp_replace(F.lower(narrow(col)), "([⁰¹²³⁴⁵⁶⁷⁸⁹]+)", "^$1")
+    text = F.replace(F.replace(F.translate(text, "µμ×⁰¹²³⁴⁵⁶⁷⁸⁹", "uux0123456789"), F.lit("℃"), F.lit("°c")), F.lit("℉"), F.lit("°f"))
+    text = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), r"^[\[(](.*)[\])]$", "$1")
+    return F.regexp_replace(F.regexp_replace(text, "^deg", "°"), "^mc(?=mol|kat|g|m$)", "u")
+
+
+_RAISED = "([⁰¹²³⁴⁵⁶⁷⁸⁹⁻]+)"
+_PLAIN = r"^\d{1,12}(?:\.\d{1,12})?$"
+_LETTERS = r"^(?!H$)[A-Za-z%]{1,8}(?:/[A-Za-z]{1,4})?$"
+_WITH_UNIT = r"^(\d{1,12}(?:\.\d{1,12})?) ?((?!H$|ref)[A-Za-z%]{1,8}(?:/[A-Za-z]{1,4})?)$"
+_RESULT = r"^(?:结果|约|测得|result|about|[=≈~:]|\s)*(?:[<>]=?|[≤≥])?\s*([-+]?\d[\d.,]*(?<![.,]))(?:(?:[eE]|\s*[x×*]\s*10\^)([-+]?\d{1,3})(?!\d*/))?\s*(.*)$"
+_BEHIND_UNIT = r"\s*(?:[(\[]?\s*(?:参考|正常|范围|ref).*|[,;]?\s*(?:已复核|复查|重测)\s*|\(\s*(?:复查|已复核|重测)?\s*\)\s*|(?:[↑↓*]+|偏?低|偏?高|(?<=\s|^)H)\s*)+$"
 
 
 def read_results(df: DataFrame, result: str) -> DataFrame:
@@ -71,26 +76,29 @@ def read_results(df: DataFrame, result: str) -> DataFrame:
 
     A bound gives its number. Numbers may have a decimal comma, thousands marks,
     an exponent or full-width digits. Flags, remarks and a printed reference
-    range behind the number are dropped.
+    range behind the number are dropped. Plain numbers meet one short pattern
+    only; the long ones are for the rest.
     """
-    text = F.translate(F.regexp_replace(narrow(F.col(f"`{result}`")), "([⁰¹²³⁴⁵⁶⁷⁸⁹⁻]+)", "^$1"), "⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
-    head = r"^(?:结果|约|测得|result|about|[=≈~:]|\s)*(?:[<>]=?|[≤≥])?\s*"
-    whole = head + r"([-+]?\d[\d.,]*(?<![.,]))(?:(?:[eE]|\s*[x×*]\s*10\^)([-+]?\d{1,3})(?!\d*/))?\s*(.*)$"
-    # one match per row: its groups come out as one array
-    groups = F.split(F.regexp_replace(F.col("_text"), whole, "$1\u0001$2\u0001$3"), "\u0001")
-    out = df.withColumn("_text", text).withColumn("_groups", groups).withColumn("_hit", F.when(F.size("_groups") == 3, F.col("_groups")[0]))
+    raw = F.col(f"`{result}`")
+    ascii_only = raw.rlike(r"^\p{ASCII}*$")
+    text = F.when(ascii_only, F.trim(raw)).otherwise(F.translate(F.regexp_replace(narrow(raw), _RAISED, "^$1"), "⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-"))
+    # Three forms of growing length: a number, a number and a unit, anything. The groups of a match come out as one array.
+    groups = (
+        F.when(raw.rlike(_PLAIN), F.array(raw, F.lit(""), F.lit("")))
+        .when(raw.rlike(_WITH_UNIT), F.array(F.regexp_extract(raw, _WITH_UNIT, 1), F.lit(""), F.regexp_extract(raw, _WITH_UNIT, 2)))
+        .otherwise(F.split(F.regexp_replace(text, _RESULT, "$1\u0001$2\u0001$3"), "\u0001"))
+    )
+    out = df.withColumn("_groups", groups)
+    hit, power, rest = (F.col("_groups")[i] for i in range(3))
     digits = (
-        F.when(F.col("_hit").rlike(r"^[-+]?[1-9]\d{0,2}(,\d{3})+(\.\d+)?$"), F.regexp_replace("_hit", ",", ""))
-        .when(F.col("_hit").rlike(r"^[-+]?\d{1,3}(\.\d{3})+,\d+$"), F.translate("_hit", ",.", "."))
-        .otherwise(F.regexp_replace("_hit", ",", "."))
+        F.when(~F.contains(hit, F.lit(",")), hit)
+        .when(hit.rlike(r"^[-+]?[1-9]\d{0,2}(,\d{3})+(\.\d+)?$"), F.regexp_replace(hit, ",", ""))
+        .when(hit.rlike(r"^[-+]?\d{1,3}(\.\d{3})+,\d+$"), F.translate(hit, ",.", "."))
+        .otherwise(F.regexp_replace(hit, ",", "."))
     )
-    power = F.col("_groups")[1]
-    rest = F.col("_groups")[2]
-    for junk in (r"[(\[]?\s*(?:参考|正常|范围|ref).*$", r"[,;]?\s*(?:已复核|复查|重测)\s*$", r"\(\s*(?:复查|已复核|重测)?\s*\)\s*$", r"\s*(?:[↑↓*]+|低|高|偏低|偏高|(?<=\s|^)H)\s*$"):
-        rest = F.regexp_replace(rest, junk, "")
-    rest = F.when(F.col("_groups")[2] == "", "").otherwise(rest)
-    number = F.concat(digits, F.when(power != "", F.concat(F.lit("e"), power)).otherwise(""))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], number.try_cast("double").alias("_number"), F.when(F.col("_hit").isNotNull(), F.trim(rest)).alias("_inline"))
+    number = F.when(F.size("_groups") == 3, F.when(power == "", digits).otherwise(F.concat(digits, F.lit("e"), power)).try_cast("double"))
+    inline = F.when(F.size("_groups") == 3, F.when(rest == "", "").when(rest.rlike(_LETTERS), rest).otherwise(F.trim(F.regexp_replace(rest, _BEHIND_UNIT, ""))))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], number.alias("_number"), inline.alias("_inline"))
 
 
 def item_forms(name: Column) -> Column:
@@ -116,35 +124,28 @@ def common_units(df: DataFrame, items: DataFrame, id_col: str, name_col: str, re
     spark = df.sparkSession
     units = spark.createDataFrame(unit_table(), "form string, dimension string, factor double")
     forms = items.select(
-        "item_code", "common_unit", F.col("molar_mass").cast("double").alias("molar_mass"),
-        F.explode(F.concat(F.array("item_name", "name_en"), F.coalesce(F.split("aliases", r"\|"), F.array().cast("array<string>")))).alias("name"),
+        "item_code", F.explode(F.concat(F.array("item_name", "name_en"), F.coalesce(F.split("aliases", r"\|"), F.array().cast("array<string>")))).alias("name"),
     )
     reference = forms.select(F.col("item_code").alias("key"), folded(F.col("name")).alias("form"))
     rows = read_results(
-        df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{name_col}`").alias("name"), F.col(f"`{result_col}`").alias("result"), F.col(f"`{unit_col}`").alias("unit")),
-        "result",
-    ).where("_number IS NOT NULL AND name IS NOT NULL")
-    names = df.select(F.col(f"`{name_col}`").alias("name")).where("name IS NOT NULL").distinct()
-    item_map = alias_dictionary(names.select(F.col("name").alias("spelling"), F.explode(item_forms(F.col("name"))).alias("form")), reference).select(
-        F.col("spelling").alias("name"), F.col("key").alias("item_code")
+        df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{name_col}`").alias("name"), F.col(f"`{result_col}`").alias("result"), F.col(f"`{unit_col}`").alias("own")), "result"
+    ).select("id", "name", F.col("_number").alias("number"), F.col("_inline").alias("inline"), "own")
+    names = rows.select(F.col("name").alias("spelling")).where("spelling IS NOT NULL").distinct()
+    item_map = alias_dictionary(names.select("spelling", F.explode(item_forms(F.col("spelling"))).alias("form")), reference).select(F.col("spelling").alias("name"), F.col("key").alias("item_code"))
+    # Of the pairs of what stands in the result and in the unit field there are few; each gets its unit once.
+    rows = rows.where("number IS NOT NULL").withColumn("pair", F.concat_ws("\u0001", F.coalesce("inline", F.lit("")), F.coalesce("own", F.lit("")))).drop("inline", "own")
+    pairs = rows.select("pair").distinct().select("pair", F.posexplode(F.split("pair", "\u0001")).alias("place", "spelling")).where("spelling <> ''")
+    written = pairs.select("spelling").distinct()
+    unit_map = alias_dictionary(written.withColumn("form", folded_unit(F.col("spelling"))), units.select(F.concat_ws("|", "dimension", "factor").alias("key"), "form"), slips=UNITS)
+    unit_of = pairs.join(unit_map, "spelling").groupBy("pair").agg(F.min(F.struct("place", "spelling", "key")).alias("u")).select(
+        "pair", F.col("u.spelling").alias("unit"), F.split_part("u.key", F.lit("|"), F.lit(1)).alias("dimension"), F.split_part("u.key", F.lit("|"), F.lit(2)).cast("double").alias("factor")
     )
-    # Read for the dictionary and for the result, so it is written once to the shared folder.
-    rows = cut(rows.select("id", "name", F.col("_number").alias("number"), F.col("_inline").alias("inline"), F.col("unit").alias("own")))
-    spelled = rows.select(F.explode(F.array_distinct(F.array_compact(F.array("inline", "own")))).alias("spelling")).where("spelling <> ''").distinct()
-    unit_map = alias_dictionary(spelled.withColumn("form", folded_unit(F.col("spelling"))), units.select(F.concat_ws("|", "dimension", "factor").alias("key"), "form"), strict=True)
-    unit_map = unit_map.select("spelling", F.split_part("key", F.lit("|"), F.lit(1)).alias("dimension"), F.split_part("key", F.lit("|"), F.lit(2)).cast("double").alias("factor"))
     common = (
         items.select("item_code", folded_unit(F.col("common_unit")).alias("form"), F.col("molar_mass").cast("double").alias("molar_mass"))
         .join(F.broadcast(units), "form")
         .select("item_code", F.col("dimension").alias("to_dimension"), F.col("factor").alias("to_factor"), "molar_mass")
     )
-    first = unit_map.select(F.col("spelling").alias("inline"), F.col("dimension").alias("d1"), F.col("factor").alias("f1"))
-    second = unit_map.select(F.col("spelling").alias("own"), F.col("dimension").alias("d2"), F.col("factor").alias("f2"))
-    joined = (
-        rows.join(item_map.join(common, "item_code"), "name").join(first, "inline", "left").join(second, "own", "left")
-        .withColumn("dimension", F.coalesce("d1", "d2")).withColumn("factor", F.when(F.col("d1").isNotNull(), F.col("f1")).otherwise(F.col("f2")))
-        .withColumn("unit", F.when(F.col("d1").isNotNull(), F.col("inline")).otherwise(F.col("own")))
-    )
+    joined = rows.where("name IS NOT NULL").join(item_map.join(common, "item_code"), "name").join(unit_of, "pair")
     same = F.col("dimension") == F.col("to_dimension")
     ratio = F.col("number") * (F.col("factor") / F.col("to_factor"))
     value = (
