@@ -1,79 +1,124 @@
 """Near-duplicate records with small edits.
 
-Every distinct text gets a fingerprint: one MinHash symbol per hash function
-over its distinct character pieces. Two texts of resemblance J differ in a share
-1 - J of the symbols, so the Hamming distance of fingerprints, taken on one bit
-of each symbol, estimates J. The
-fingerprint is split into blocks, so many and so short that a pair of the least
-resemblance the share allows shares a whole block with near certainty.
-Pairs are found by an equality join on blocks, verified by the Hamming distance
-of their fingerprints, and then checked exactly on their pieces.
+Every text gets a fingerprint of MinHash symbols over its character pieces: in
+each of a few passes all pieces are hashed once into as many bins as there are
+blocks, and a bin's symbol is its least hash (an empty bin takes the symbol of
+another, drawn by a fixed table). A block holds one symbol of each pass. Two
+texts of resemblance J agree in a share J of the symbols, so the Hamming distance
+of fingerprints, taken on one bit of each symbol, estimates J, and the blocks are
+so many that a pair of the least resemblance the share allows agrees in a whole
+block with near certainty. Pairs are found by an equality join on blocks,
+verified by the Hamming distance of their fingerprints, and then checked exactly
+on their pieces.
 
 Identical texts are one class with one representative before any join, so a
-group of copies costs one text whatever its size.
+group of copies costs one text whatever its size. Fingerprints move in the
+shuffles; texts move only for pairs within the Hamming distance.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks and symbols per block. At the least resemblance of a share of 0.7 (7/13) a pair misses all blocks with probability 1.1e-5.
-BLOCKS, PER_BLOCK = 130, 4
+from tidemark.session import cut
+
+#: Blocks, and symbols of a block. At the least resemblance of a share of 0.7 (7/13) a pair misses all blocks with probability 2.3e-4.
+BLOCKS, PER_BLOCK = 96, 4
 SYMBOLS = BLOCKS * PER_BLOCK
-_PRIME = np.uint64((1 << 61) - 1)
-_seeds = np.random.default_rng(20)
-_MULTIPLY = (_seeds.integers(1, 1 << 62, SYMBOLS, dtype=np.uint64) | np.uint64(1))
-_ADD = _seeds.integers(0, 1 << 62, SYMBOLS, dtype=np.uint64)
-#: Pieces hashed at once, which bounds the memory of a very long text and stays within the cache.
-_CHUNK = 64
+WORDS = SYMBOLS // 64
+#: Pairs up to which they are sent to the texts, and not the texts to them: two ids each, 16 MB in all.
+MOST_SENT = 1 << 20
+#: Characters fingerprinted at once, which bounds the memory of a task; a longer text is taken alone.
+AT_ONCE = 1 << 20
+
+_draw = np.random.default_rng(20)
+_SEEDS = _draw.integers(1, 1 << 63, PER_BLOCK, dtype=np.uint64)
+_BORROW = _draw.integers(0, BLOCKS, (256, PER_BLOCK, BLOCKS))
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def pieces(text: str, size: int) -> np.ndarray:
-    """Sorted hashes of the distinct pieces of ``size`` characters; empty for shorter texts."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
+def _hashed(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pieces of ``size`` characters, repeated ones too, and the text that each is from."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) for t in texts])
+    n = max(0, len(codes) - size + 1)
     value = np.zeros(n, dtype=np.uint64)
     for k in range(size):
         value = _mix(value * np.uint64(0x100000001B3) + codes[k : k + n] + np.uint64(1))
-    return np.unique(value)
+    owner = np.repeat(np.arange(len(texts)), lengths)[:n]
+    whole = np.arange(n) + size <= np.cumsum(lengths)[owner] if n else np.empty(0, dtype=bool)
+    return value[whole], owner[whole]
 
 
-def fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """One symbol per hash function: the least hash of all pieces."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), _CHUNK):
-        part = hashes[at : at + _CHUNK, None] * _MULTIPLY[None, :] + _ADD[None, :]
-        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0))
-    return least
+def pieces(text: str, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct pieces of ``size`` characters; empty for shorter texts."""
+    return np.unique(_hashed([text], size)[0])
 
 
-def _block_keys(symbols: np.ndarray) -> np.ndarray:
-    key = np.zeros(BLOCKS, dtype=np.uint64)
+def fingerprints(texts: list[str], size: int) -> np.ndarray:
+    """The symbols of each text, (texts, PER_BLOCK, BLOCKS). Texts shorter than a piece have empty symbols only."""
+    value, owner = _hashed(texts, size)
+    found = np.empty((len(texts), PER_BLOCK, BLOCKS), dtype=np.uint32)
+    for k in range(PER_BLOCK):
+        h = _mix(value ^ _SEEDS[k])
+        bins = ((h >> np.uint64(32)) * np.uint64(BLOCKS)) >> np.uint64(32)
+        least = np.full(len(texts) * BLOCKS, _EMPTY, dtype=np.uint32)
+        np.minimum.at(least, owner * BLOCKS + bins.astype(np.int64), np.minimum(h.astype(np.uint32), _EMPTY - np.uint32(1)))
+        found[:, k] = least.reshape(len(texts), BLOCKS)
+    out = found.copy()
+    for table in _BORROW:
+        empty = np.nonzero(out == _EMPTY)
+        if not len(empty[0]):
+            break
+        out[empty] = found[empty[0], empty[1], table[empty[1], empty[2]]]
+    return out
+
+
+def block_keys(symbols: np.ndarray) -> np.ndarray:
+    """One key of 32 bits for each block, the number of the block mixed in."""
+    key = np.broadcast_to(np.arange(1, BLOCKS + 1, dtype=np.uint64), (len(symbols), BLOCKS))
     for k in range(PER_BLOCK):
-        key = _mix(key * np.uint64(0x100000001B3) + symbols[k::PER_BLOCK])
-    key = _mix(key ^ (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32)))
-    return key.view(np.int64)
+        key = _mix(key * np.uint64(0x100000001B3) + symbols[:, k])
+    return key.astype(np.uint32).view(np.int32)
+
+
+def marks(symbols: np.ndarray) -> np.ndarray:
+    """One bit of each symbol, in words of 64."""
+    bits = np.packbits((symbols & np.uint32(1)).astype(np.uint8).reshape(len(symbols), SYMBOLS), axis=1)
+    return np.ascontiguousarray(bits).view(np.int64)
 
 
 def largest_distance(share: float) -> int:
-    """The differing bits up to which a pair is looked at: four standard deviations beyond those of the least resemblance.
+    """The differing bits up to which a pair is looked at: five standard deviations beyond those of the least resemblance.
 
     The bits of differing symbols are equal half of the time. If a share s of the pieces of either text stands in the other, J is at least s / (2 - s).
     """
     j = share / (2 - share)
     differing = (1 - j) / 2
-    return int(np.ceil(SYMBOLS * differing + 4 * np.sqrt(SYMBOLS * differing * (1 - differing))))
+    return int(np.ceil(SYMBOLS * differing + 5 * np.sqrt(SYMBOLS * differing * (1 - differing))))
+
+
+def _parts(texts: list[str]) -> Iterator[slice]:
+    start, chars = 0, 0
+    for i, text in enumerate(texts):
+        if chars and chars + len(text) > AT_ONCE:
+            yield slice(start, i)
+            start, chars = i, 0
+        chars += len(text)
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7, size: int = 4, least_chars: int = 40) -> tuple[DataFrame, DataFrame]:
@@ -85,28 +130,24 @@ def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7
     ``least_chars`` characters, its class being the smallest id with that text;
     ``pairs`` (class_a, class_b) has each close pair of classes once, the smaller
     first. Null and shorter texts are left out; ids are taken as unique.
+
+    The pairs within the Hamming distance are checkpointed and counted here, so
+    that they are broadcast only up to ``MOST_SENT``.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") >= max(least_chars, size))
-    # The representative carries the text on; the hash stands for the text in the shuffle, with its length beside it.
-    keyed = docs.withColumn("digest", F.sha2("text", 256))
-    classes = keyed.groupBy("digest").agg(F.min("id").alias("class_id"))
-    members = keyed.select("id", "digest").join(classes, "digest").select("id", "class_id")
-    chosen = classes.select(F.col("class_id").alias("id"))
-    texts = docs.join(chosen, "id", "left_semi")
-
-    @F.pandas_udf("struct<keys:array<bigint>,symbols:binary>")
-    def sketch(column: pd.Series) -> pd.DataFrame:
-        keys, marks = [], []
-        for text in column:
-            symbols = fingerprint(pieces(text, size))
-            keys.append(_block_keys(symbols))
-            marks.append(np.packbits((symbols & np.uint64(1)).astype(np.uint8)).tobytes())
-        return pd.DataFrame({"keys": keys, "symbols": marks})
-
-    @F.pandas_udf("int")
-    def differing(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -(-SYMBOLS // 8)) for c in (a, b))
-        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1), dtype="int32")
+    keyed = docs.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+    words = [f"w{k}" for k in range(WORDS)]
+    schema = "id bigint, digest binary, keys array<int>, " + ", ".join(f"{w} bigint" for w in words)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for part in _parts(texts):
+                symbols = fingerprints(texts[part], size)
+                bits, n = marks(symbols), len(symbols)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BLOCKS), pa.array(block_keys(symbols).ravel()))
+                own = batch.slice(part.start, n)
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("digest"), keys, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]], names=["id", "digest", "keys", *words])
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -117,27 +158,31 @@ def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7
             out.append(shared * 1000 >= round(share * 1000) * max(len(p), len(q)))
         return pd.Series(out, dtype=bool)
 
-    # read for the blocks and twice for the symbols; one kilobyte a text
-    sketches = texts.select("id", sketch("text").alias("s")).select("id", "s.keys", "s.symbols").persist(StorageLevel.MEMORY_AND_DISK)
+    classes = keyed.groupBy("digest").agg(F.min("id").alias("class_id"))
+    members = keyed.select("id", "digest").join(classes, "digest").select("id", "class_id")
+    # one fingerprint of each text; copies are dropped before the shuffle
+    sketches = keyed.mapInArrow(sketch, schema).groupBy("digest").agg(F.min("id").alias("id"), F.min("keys").alias("keys"), *[F.min(w).alias(w) for w in words])
     blocks = sketches.select("id", F.explode("keys").alias("key"))
     a, b = blocks.select(F.col("id").alias("a"), "key"), blocks.select(F.col("id").alias("b"), "key")
     candidates = a.join(b, "key").where("a < b").select("a", "b").distinct()
-    marks = sketches.select("id", "symbols")
-    near = (
-        candidates.join(marks.select(F.col("id").alias("a"), F.col("symbols").alias("sa")), "a")
-        .join(marks.select(F.col("id").alias("b"), F.col("symbols").alias("sb")), "b")
-        .where(differing("sa", "sb") <= largest_distance(share))
-        .select("a", "b")
-    )
-    pairs = (
-        near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        .where(close("ta", "tb"))
-        .select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
-    )
+    left, right = (sketches.select(F.col("id").alias(side), *[F.col(w).alias(side + w) for w in words]) for side in "ab")
+    differing = sum((F.bit_count(F.col("a" + w).bitwiseXOR(F.col("b" + w))) for w in words), F.lit(0))
+    near = cut(candidates.join(left, "a").join(right, "b").where(differing <= largest_distance(share)).select("a", "b"))
+    sent = near.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    if near.count() <= MOST_SENT:
+        sent = F.broadcast(sent)
+    # the two texts of a pair meet under the pair
+    met = docs.join(sent, "id").groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("ta"), F.max(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("tb"))
+    pairs = met.where(close("ta", "tb")).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
     return members, pairs
 
 
+def linked(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, class_id, links): every text's class of identical texts and how many other classes are close to it."""
+    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(ends, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """All close pairs of ids (id_a, id_b), smaller first: those of each class and those between close classes."""
     left, right = members.select(F.col("id").alias("x"), F.col("class_id").alias("cx")), members.select(F.col("id").alias("y"), F.col("class_id").alias("cy"))
