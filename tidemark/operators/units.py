@@ -65,8 +65,8 @@ def folded_unit(col: Column) -> Column:
 
 _RAISED = "([⁰¹²³⁴⁵⁶⁷⁸⁹⁻]+)"
 _PLAIN = r"^\d{1,12}(?:\.\d{1,12})?$"
-_LETTERS = r"^(?!H$)[A-Za-z%]{1,8}(?:/[A-Za-z]{1,4})?$"
-_WITH_UNIT = r"^(\d{1,12}(?:\.\d{1,12})?) ?((?!H$|ref)[A-Za-z%]{1,8}(?:/[A-Za-z]{1,4})?)$"
+_UNIT = r"^(?!H$|ref|偏?[低高]|参考|正常|范围|已复核|复查|重测)[A-Za-z%µμ℃℉‰\u4e00-\u9fff]{1,8}(?:/[A-Za-z\u4e00-\u9fff]{1,4})?$"
+_WITH_UNIT = rf"^(\d{{1,12}}(?:\.\d{{1,12}})?) ?({_UNIT[1:-1]})$"
 _RESULT = r"^(?:结果|约|测得|result|about|[=≈~:]|\s)*(?:[<>]=?|[≤≥])?\s*([-+]?\d[\d.,]*(?<![.,]))(?:(?:[eE]|\s*[x×*]\s*10\^)([-+]?\d{1,3})(?!\d*/))?\s*(.*)$"
 _BEHIND_UNIT = r"\s*(?:[(\[]?\s*(?:参考|正常|范围|ref).*|[,;]?\s*(?:已复核|复查|重测)\s*|\(\s*(?:复查|已复核|重测)?\s*\)\s*|(?:[↑↓*]+|偏?低|偏?高|(?<=\s|^)H)\s*)+$"
 
@@ -80,25 +80,24 @@ def read_results(df: DataFrame, result: str) -> DataFrame:
     only; the long ones are for the rest.
     """
     raw = F.col(f"`{result}`")
-    ascii_only = raw.rlike(r"^\p{ASCII}*$")
-    text = F.when(ascii_only, F.trim(raw)).otherwise(F.translate(F.regexp_replace(narrow(raw), _RAISED, "^$1"), "⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-"))
+    text = F.when(raw.rlike(r"^\p{ASCII}*$"), F.trim(raw)).otherwise(F.translate(F.regexp_replace(narrow(raw), _RAISED, "^$1"), "⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-"))
     # Three forms of growing length: a number, a number and a unit, anything. The groups of a match come out as one array.
-    groups = (
-        F.when(raw.rlike(_PLAIN), F.array(raw, F.lit(""), F.lit("")))
-        .when(raw.rlike(_WITH_UNIT), F.array(F.regexp_extract(raw, _WITH_UNIT, 1), F.lit(""), F.regexp_extract(raw, _WITH_UNIT, 2)))
-        .otherwise(F.split(F.regexp_replace(text, _RESULT, "$1\u0001$2\u0001$3"), "\u0001"))
-    )
-    out = df.withColumn("_groups", groups)
+    kind = F.when(raw.rlike(_PLAIN), 0).when(raw.rlike(_WITH_UNIT), 1).when(raw.rlike("[0-9０-９]"), 2)
+    out = df.withColumn("_kind", kind).withColumn("_groups", F.when(F.col("_kind") == 2, F.split(F.regexp_replace(text, _RESULT, "$1\u0001$2\u0001$3"), "\u0001")))
     hit, power, rest = (F.col("_groups")[i] for i in range(3))
     digits = (
         F.when(~F.contains(hit, F.lit(",")), hit)
         .when(hit.rlike(r"^[-+]?[1-9]\d{0,2}(,\d{3})+(\.\d+)?$"), F.regexp_replace(hit, ",", ""))
         .when(hit.rlike(r"^[-+]?\d{1,3}(\.\d{3})+,\d+$"), F.translate(hit, ",.", "."))
-        .otherwise(F.regexp_replace(hit, ",", "."))
+        .otherwise(F.replace(hit, F.lit(","), F.lit(".")))
     )
-    number = F.when(F.size("_groups") == 3, F.when(power == "", digits).otherwise(F.concat(digits, F.lit("e"), power)).try_cast("double"))
-    inline = F.when(F.size("_groups") == 3, F.when(rest == "", "").when(rest.rlike(_LETTERS), rest).otherwise(F.trim(F.regexp_replace(rest, _BEHIND_UNIT, ""))))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], number.alias("_number"), inline.alias("_inline"))
+    read = F.size("_groups") == 3
+    number = F.when(F.col("_kind") == 0, raw).when(F.col("_kind") == 1, F.regexp_extract(raw, _WITH_UNIT, 1)).when(read, F.when(power == "", digits).otherwise(F.concat(digits, F.lit("e"), power)))
+    inline = (
+        F.when(F.col("_kind") == 0, "").when(F.col("_kind") == 1, F.regexp_extract(raw, _WITH_UNIT, 2))
+        .when(read, F.when((rest == "") | rest.rlike(_UNIT), rest).otherwise(F.trim(F.regexp_replace(rest, _BEHIND_UNIT, ""))))
+    )
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], number.try_cast("double").alias("_number"), inline.alias("_inline"))
 
 
 def item_forms(name: Column) -> Column:
