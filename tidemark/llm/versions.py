@@ -26,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, keep
 
-#: Blocks, and symbols of a block. At the least resemblance of a share of 0.7 (7/13) a pair misses all blocks with probability 2.3e-4.
-BLOCKS, PER_BLOCK = 96, 4
+#: Blocks, and symbols of a block. At the least resemblance of a share of 0.7 (7/13) a pair misses all blocks with probability 9e-4.
+BLOCKS, PER_BLOCK = 80, 4
 SYMBOLS = BLOCKS * PER_BLOCK
+#: Words of the fingerprint for each of the two bits of a symbol that are compared.
 WORDS = SYMBOLS // 64
+#: Fingerprints up to which they are broadcast for the Hamming distance; beyond, they are joined by a shuffle. 90 bytes each, 45 MB in all.
+MOST_BROADCAST = 500_000
 #: Pairs up to which they are sent to the texts, and not the texts to them: two ids each, 16 MB in all.
 MOST_SENT = 1 << 20
 #: Characters fingerprinted at once, which bounds the memory of a task; a longer text is taken alone.
@@ -62,9 +65,19 @@ def _hashed(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return value[whole], owner[whole]
 
 
-def pieces(text: str, size: int) -> np.ndarray:
-    """Sorted hashes of the distinct pieces of ``size`` characters; empty for shorter texts."""
-    return np.unique(_hashed([text], size)[0])
+def distinct_pieces(texts: list[str], size: int) -> list[np.ndarray]:
+    """Sorted hashes of each text's distinct pieces of ``size`` characters."""
+    out: list[np.ndarray] = []
+    for part in _parts(texts):
+        value, owner = _hashed(texts[part], size)
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+        fresh = np.ones(len(value), dtype=bool)
+        fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        value, owner = value[fresh], owner[fresh]
+        bounds = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
+        out.extend(value[i:j] for i, j in zip(bounds, bounds[1:]))
+    return out
 
 
 def fingerprints(texts: list[str], size: int) -> np.ndarray:
@@ -95,19 +108,20 @@ def block_keys(symbols: np.ndarray) -> np.ndarray:
 
 
 def marks(symbols: np.ndarray) -> np.ndarray:
-    """One bit of each symbol, in words of 64."""
-    bits = np.packbits((symbols & np.uint32(1)).astype(np.uint8).reshape(len(symbols), SYMBOLS), axis=1)
-    return np.ascontiguousarray(bits).view(np.int64)
+    """Two bits of each symbol, first all the one and then all the other, in words of 64."""
+    flat = symbols.reshape(len(symbols), SYMBOLS)
+    bits = [np.packbits(((flat >> np.uint32(k)) & np.uint32(1)).astype(np.uint8), axis=1) for k in (0, 1)]
+    return np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.int64)
 
 
 def largest_distance(share: float) -> int:
-    """The differing bits up to which a pair is looked at: five standard deviations beyond those of the least resemblance.
+    """The differing symbols up to which a pair is looked at: four standard deviations beyond those of the least resemblance.
 
-    The bits of differing symbols are equal half of the time. If a share s of the pieces of either text stands in the other, J is at least s / (2 - s).
+    Two bits of differing symbols are equal in a quarter of them. If a share s of the pieces of either text stands in the other, J is at least s / (2 - s).
     """
     j = share / (2 - share)
-    differing = (1 - j) / 2
-    return int(np.ceil(SYMBOLS * differing + 5 * np.sqrt(SYMBOLS * differing * (1 - differing))))
+    differing = (1 - j) * 3 / 4
+    return int(np.ceil(SYMBOLS * differing + 4 * np.sqrt(SYMBOLS * differing * (1 - differing))))
 
 
 def _parts(texts: list[str]) -> Iterator[slice]:
@@ -131,12 +145,13 @@ def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7
     ``pairs`` (class_a, class_b) has each close pair of classes once, the smaller
     first. Null and shorter texts are left out; ids are taken as unique.
 
-    The pairs within the Hamming distance are checkpointed and counted here, so
-    that they are broadcast only up to ``MOST_SENT``.
+    Fingerprints, and the pairs within the Hamming distance, are counted here, so
+    that they are broadcast only up to ``MOST_BROADCAST`` and ``MOST_SENT``. The
+    fingerprints are kept until ``session.release``, the pairs checkpointed.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") >= max(least_chars, size))
     keyed = docs.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
-    words = [f"w{k}" for k in range(WORDS)]
+    words = [f"{bit}{k}" for bit in "wv" for k in range(WORDS)]
     schema = "id bigint, digest binary, keys array<int>, " + ", ".join(f"{w} bigint" for w in words)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,26 +162,34 @@ def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7
                 bits, n = marks(symbols), len(symbols)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BLOCKS), pa.array(block_keys(symbols).ravel()))
                 own = batch.slice(part.start, n)
-                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("digest"), keys, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]], names=["id", "digest", "keys", *words])
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("digest"), keys, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(words))]], names=["id", "digest", "keys", *words])
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            p, q = pieces(x, size), pieces(y, size)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(shared * 1000 >= round(share * 1000) * max(len(p), len(q)))
-        return pd.Series(out, dtype=bool)
+        texts = pd.unique(pd.concat([a, b], ignore_index=True))
+        known = dict(zip(texts, distinct_pieces(list(texts), size)))
+        least = round(share * 1000)
+
+        def one(p: np.ndarray, q: np.ndarray) -> bool:
+            if min(len(p), len(q)) * 1000 < least * max(len(p), len(q)):
+                return False
+            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+            return int(np.count_nonzero(q[at] == p)) * 1000 >= least * max(len(p), len(q))
+
+        return pd.Series([one(known[x], known[y]) for x, y in zip(a, b)], dtype=bool)
 
     classes = keyed.groupBy("digest").agg(F.min("id").alias("class_id"))
     members = keyed.select("id", "digest").join(classes, "digest").select("id", "class_id")
     # one fingerprint of each text; copies are dropped before the shuffle
-    sketches = keyed.mapInArrow(sketch, schema).groupBy("digest").agg(F.min("id").alias("id"), F.min("keys").alias("keys"), *[F.min(w).alias(w) for w in words])
+    sketches = keep(keyed.mapInArrow(sketch, schema).groupBy("digest").agg(F.min("id").alias("id"), F.min("keys").alias("keys"), *[F.min(w).alias(w) for w in words]))
     blocks = sketches.select("id", F.explode("keys").alias("key"))
     a, b = blocks.select(F.col("id").alias("a"), "key"), blocks.select(F.col("id").alias("b"), "key")
     candidates = a.join(b, "key").where("a < b").select("a", "b").distinct()
     left, right = (sketches.select(F.col("id").alias(side), *[F.col(w).alias(side + w) for w in words]) for side in "ab")
-    differing = sum((F.bit_count(F.col("a" + w).bitwiseXOR(F.col("b" + w))) for w in words), F.lit(0))
+    if sketches.count() <= MOST_BROADCAST:
+        left, right = F.broadcast(left), F.broadcast(right)
+    other = lambda w: F.col("a" + w).bitwiseXOR(F.col("b" + w))
+    differing = sum((F.bit_count(other(f"w{k}").bitwiseOR(other(f"v{k}"))) for k in range(WORDS)), F.lit(0))
     near = cut(candidates.join(left, "a").join(right, "b").where(differing <= largest_distance(share)).select("a", "b"))
     sent = near.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     if near.count() <= MOST_SENT:
