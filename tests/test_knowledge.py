@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidemark.operators.knowledge import as_known
+from tidemark.operators.knowledge import as_known, buckets_for
 
 EV, CH = "event_id bigint, entity string, at bigint, slice string", "id bigint, entity string, kind string, happened bigint, known bigint, bucket string"
 
@@ -40,3 +40,16 @@ def test_ties_and_the_very_moment(spark):
 def test_empty(spark):
     for events, changes in (([], []), ([(1, "p", 1, "")], []), ([], [(1, "p", "k", 1, 1, "")])):
         assert as_known(spark.createDataFrame(events, EV), spark.createDataFrame(changes, CH)).count() == 0
+
+
+def test_many_events_for_few_changes(spark):
+    # one bucket's worth of changes and many events: no task takes them all
+    from pyspark.sql import functions as F
+
+    events = spark.range(200_000).select(F.col("id").alias("event_id"), F.concat(F.lit("p"), F.col("id") % 50).alias("entity"), (F.col("id") * 1000).alias("at"))
+    changes = spark.range(500).select("id", F.concat(F.lit("p"), F.col("id") % 50).alias("entity"), F.lit("k").alias("kind"), (F.col("id") * 1000).alias("happened"), F.lit(0).cast("bigint").alias("known"))
+    found = as_known(events, changes, slice_us=1_000_000)
+    assert found.count() == 200_000 - 0
+    assert buckets_for(spark, 2_001_000) >= 100 and buckets_for(spark, 0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_task = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task < 150_000

@@ -16,17 +16,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import keep
+
 _EARLIEST = -(1 << 62)
 #: Width of a time slice, about twelve days.
 SLICE_US = 1_048_576_000_000
-#: Changes that one co-grouped task handles on average.
+#: Rows of both sides that one group handles on average.
 ROWS_PER_BUCKET = 20_000
 
 
+def buckets_for(spark: SparkSession, rows: int) -> int:
+    """How many groups so many rows are spread over."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_BUCKET)
+
+
 def _lookup(events: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
     """The winning change of each kind for every event; both sides hold many (entity, slice) groups."""
     empty = pd.DataFrame({"event_id": pd.Series(dtype="int64"), "change_id": pd.Series(dtype="int64")})
@@ -68,22 +74,23 @@ def as_known(
     microseconds. Rows with a null in any of these are left out; other columns
     are ignored. Equal moments count as known. Returns (event_id, change_id), at
     most one row per event and kind; events without an eligible change have none.
-    An event given twice is answered twice. ``buckets`` is the number of tasks'
-    groups; by default it follows the number of changes.
+    An event given twice is answered twice. ``buckets`` is the number of groups
+    of entities' slices that are handed to Python one at a time; by default it
+    follows the rows of both sides, and is no less than the shuffle's partitions.
+    What several branches read is kept until ``session.release``.
     """
     ev = events.select("event_id", F.col("entity").cast("string").alias("entity"), "at").dropna()
     ch = changes.select(
         F.col("entity").cast("string").alias("entity"), F.col("kind").cast("string").alias("kind"), "happened", "known", "id"
     ).dropna()
     if buckets is None:
-        buckets = max(1, changes.select("id").count() // ROWS_PER_BUCKET)
+        buckets = buckets_for(events.sparkSession, ev.count() + ch.count())
     ev = ev.withColumn("slice", F.expr(f"floor(at / {slice_us})"))
     # One change per moment: map-side combine, so repeats of a hot entity shrink before the shuffle.
-    ch = (
+    ch = keep(
         ch.groupBy("entity", "kind", F.greatest("happened", "known").alias("eligible"))
         .agg(F.max(F.struct("happened", "known", (-F.col("id")).alias("minus"))).alias("best"))
         .withColumn("slice", F.expr(f"floor(eligible / {slice_us})"))
-        .persist(StorageLevel.MEMORY_AND_DISK)  # read three times below
     )
     needed = ev.select("entity", "slice").distinct()
     summary = ch.groupBy("entity", "kind", "slice").agg(F.max("best").alias("best"))

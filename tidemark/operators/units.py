@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.width import narrow
 from tidemark.operators.spellings import UNITS, alias_dictionary, folded
+from tidemark.session import keep
 
 # Metric prefixes, and what units are made of, in Latin and Chinese spelling.
 _PREFIXES = (("", "", 1.0), ("k", "千", 1e3), ("d", "分", 1e-1), ("m", "毫", 1e-3), ("u", "微", 1e-6), ("n", "纳", 1e-9), ("p", "皮", 1e-12))
@@ -119,6 +120,7 @@ def common_units(df: DataFrame, items: DataFrame, id_col: str, name_col: str, re
     unit, ``changed`` whether conversion changed the number. Rows whose name
     stands for no item, whose result is no number or whose unit is missing,
     unknown or of another dimension have no row here. Repeated rows are kept.
+    The results as read are kept in memory and on disk until ``session.release``.
     """
     spark = df.sparkSession
     units = spark.createDataFrame(unit_table(), "form string, dimension string, factor double")
@@ -129,10 +131,11 @@ def common_units(df: DataFrame, items: DataFrame, id_col: str, name_col: str, re
     rows = read_results(
         df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{name_col}`").alias("name"), F.col(f"`{result_col}`").alias("result"), F.col(f"`{unit_col}`").alias("own")), "result"
     ).select("id", "name", F.col("_number").alias("number"), F.col("_inline").alias("inline"), "own")
-    names = rows.select(F.col("name").alias("spelling")).where("spelling IS NOT NULL").distinct()
+    names = df.select(F.col(f"`{name_col}`").alias("spelling")).where("spelling IS NOT NULL").distinct()
     item_map = alias_dictionary(names.select("spelling", F.explode(item_forms(F.col("spelling"))).alias("form")), reference).select(F.col("spelling").alias("name"), F.col("key").alias("item_code"))
     # Of the pairs of what stands in the result and in the unit field there are few; each gets its unit once.
-    rows = rows.where("number IS NOT NULL").withColumn("pair", F.concat_ws("\u0001", F.coalesce("inline", F.lit("")), F.coalesce("own", F.lit("")))).drop("inline", "own")
+    pair = F.concat_ws("\u0001", F.coalesce("inline", F.lit("")), F.coalesce("own", F.lit(""))).alias("pair")
+    rows = keep(rows.where("number IS NOT NULL AND name IS NOT NULL").select("id", "name", "number", pair))
     pairs = rows.select("pair").distinct().select("pair", F.posexplode(F.split("pair", "\u0001")).alias("place", "spelling")).where("spelling <> ''")
     written = pairs.select("spelling").distinct()
     unit_map = alias_dictionary(written.withColumn("form", folded_unit(F.col("spelling"))), units.select(F.concat_ws("|", "dimension", "factor").alias("key"), "form"), slips=UNITS)
@@ -144,7 +147,7 @@ def common_units(df: DataFrame, items: DataFrame, id_col: str, name_col: str, re
         .join(F.broadcast(units), "form")
         .select("item_code", F.col("dimension").alias("to_dimension"), F.col("factor").alias("to_factor"), "molar_mass")
     )
-    joined = rows.where("name IS NOT NULL").join(item_map.join(common, "item_code"), "name").join(unit_of, "pair")
+    joined = rows.join(item_map.join(common, "item_code"), "name").join(unit_of, "pair")
     same = F.col("dimension") == F.col("to_dimension")
     ratio = F.col("number") * (F.col("factor") / F.col("to_factor"))
     value = (

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -32,9 +33,18 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or os.path.join(tempfile.gettempdir(), "tidemark-shared")
+    """The folder all executors share, as the cluster names it.
+
+    Where none is named, a local session takes a folder of its machine, which all
+    of it shares; a cluster is refused.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "tidemark-shared")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -48,3 +58,18 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Keep what several branches of one plan read, in memory and on disk; lost parts are computed again. :func:`release` lets go of it."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Let go of all that :func:`keep` keeps; results computed later work it out again."""
+    while _kept:
+        _kept.pop().unpersist()
