@@ -1,6 +1,7 @@
 import random
+import unicodedata
 
-from tidemark.llm.leaks import leaks, normalised
+from tidemark.llm.leaks import LEAST_RUN, Scanner, leaks, normalised, with_offsets
 
 
 def runs(doc, item, least):
@@ -36,3 +37,34 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([(1, "abc")], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, lang string, text string")
     assert leaks(docs, items).count() == 0
     assert leaks(docs.where("false"), spark.createDataFrame([(1, "zh", "胰" * 40)], "item_id bigint, lang string, text string")).count() == 0
+
+
+def test_pieces_fold_as_the_whole():
+    draw = random.Random(4)
+    letters = ["a", "e", "\u0301", "\u0323", "가", *unicodedata.normalize("NFD", "각한"), "ﬁ", "ｶ", "ﾞ", "が", "\u3099", "℃", "İ", "ß", " ", "，", "…", "①", "肝", "\u0cc6", "\u0cc2", "\u09c7", "\u09be"]
+    for _ in range(3000):
+        text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 12)))
+        plain, starts, ends = with_offsets(text)
+        assert plain == normalised(text), ascii(text)
+        assert all(0 <= a < b <= len(text) for a, b in zip(starts, ends)) and starts == sorted(starts)
+
+
+def test_decomposed_text():
+    item = "".join(chr(0xAC00 + 588 * i + 28 * (i % 21) + 1 + i % 27) for i in range(19)) * 3
+    body = unicodedata.normalize("NFD", item)
+    found = Scanner([(1, "ko", item)], LEAST_RUN | {"ko": 25}).spans("앞 café " + body + " 뒤")
+    assert found == {1: (7, 7 + len(body))}
+
+
+def test_many_items_in_one_text():
+    # 50 items share their first block; one scan tells them all apart
+    draw = random.Random(2)
+    shared = "".join(draw.choice("胰腺头部可见低密度灶与门静脉关系切面") for _ in range(13))
+    items = [(i, "zh", shared + "".join(draw.choice("肝胆脾胃肠肾肺心脑血骨皮") for _ in range(30))) for i in range(50)]
+    scanner = Scanner(items + [(99, "zh", items[0][2])], LEAST_RUN)
+    text, at = "", {}
+    for i, _, passage in items:
+        text += "ＸＹ。"
+        at[i] = (len(text), len(text) + len(passage))
+        text += passage
+    assert scanner.spans(text) == at | {99: at[0]}
