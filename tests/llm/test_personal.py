@@ -51,3 +51,45 @@ def test_empty(spark):
     assert personal.name_pattern(lexicon) is None and personal.find_personal(none, lexicon).count() == 0
     plain = spark.createDataFrame([(1, "电话12651251365")], "row_id bigint, text string")
     assert personal.find_personal(plain, lexicon).first()["hit"] == "12651251365"
+
+
+def test_written_forms():
+    for text, kind, hit in (
+        ("Lives at 221B Baker St., London NW1 6XE since", "address", "221B Baker St., London NW1 6XE"), ("call 020 7946 0958 now", "phone", "020 7946 0958"), ("tel +33 1 23 45 67 89.", "phone", "+33 1 23 45 67 89"),
+        ("Passport: 123456789", "id_number", "123456789"), ("to P.O. Box 112, Leeds", "address", "P.O. Box 112, Leeds"), ("at 10 rue de Rivoli, 75001 Paris.", "address", "10 rue de Rivoli, 75001 Paris"),
+        ("mail john.o'neil@example.org", "email", "john.o'neil@example.org"), ("住北京市海淀区中关村路27号院3号楼", "address", "北京市海淀区中关村路27号院3号楼"),
+    ):
+        assert [(k, text[a:b]) for a, b, k in personal.structured(text)] == [(kind, hit)], text
+    for text in ("CA72-4 5.2 U/mL", "Murphy sign 3 St. Marys", "lot 4471-220", "bed 12, room 4"):
+        assert personal.structured(text) == [], text
+
+
+def test_names_that_stand_once(spark):
+    plain = [(f"第{i}次查房，患者情况平稳，继续观察。The drain was removed on day {i}.",) for i in range(400)]
+    once = ["联系人赵栩，电话已登记。夜间赵栩来访。", "Spoke with Aldous Penhaligon at noon; Aldous Penhaligon agreed.", "家属于昨日，到院。", "联系人未到，明日再问。", "Spoke with Radiology Department at noon."]
+    texts = spark.createDataFrame(plain + [(t,) for t in once], "text string")
+    lexicon = personal.learn_lexicon(texts)
+    pattern = personal.name_pattern(lexicon)
+    hits = [[t[a:b] for a, b, _ in personal.spans_of(t, lexicon, pattern)] for t in once]
+    assert hits == [["赵栩", "赵栩"], ["Aldous Penhaligon", "Aldous Penhaligon"], [], [], []]
+    assert all(personal.spans_of(t, lexicon, pattern) == [] for (t,) in plain)
+
+
+def test_names_in_unseen_sentences(spark):
+    import random
+
+    draw = random.Random(5)
+    families, given = "赵钱孙李周吴郑王冯陈", "栩珩屿蓁霁岑荞槐筠漪"
+    first, last = ["Aldous", "Elowen", "Tavian", "Corwin", "Maelis", "Quillon"], ["Penhaligon", "Morrowind", "Grunwaldt", "Brockmere", "Harkness", "Penrowe"]
+    han = lambda: draw.choice(families) + "".join(draw.sample(given, draw.randint(1, 2)))
+    latin = lambda: f"{draw.choice(first)} {draw.choice(last)}"
+    learn = [(f"联系人{han()}，电话{i}。",) for i in range(150)] + [(f"Spoke with Dr. {latin()} on day {i}.",) for i in range(150)] + [(f"第{i}次复查，余同前。No change on day {i}.",) for i in range(300)]
+    lexicon = personal.learn_lexicon(spark.createDataFrame(learn, "text string"))
+    pattern = personal.name_pattern(lexicon)
+    wanted = found = 0
+    for k in range(200):
+        name = han() if k % 2 else latin()
+        text = draw.choice(["据{}回忆，当时未见异常。", "此事由{}转告。"] if k % 2 else ["According to {} nothing had changed.", "{} brought the old films."]).format(name)
+        hits = [text[a:b] for a, b, _ in personal.spans_of(text, lexicon, pattern)]
+        wanted, found = wanted + 1, found + (hits == [name])
+    assert found >= 0.9 * wanted

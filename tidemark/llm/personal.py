@@ -9,6 +9,10 @@ chance, is the information the term discloses about a protected entity. Terms
 above the disclosure threshold make up the lexicon by which names are found
 anywhere in the text, slot or not. For Chinese text the terms are family names
 and characters of given names, for Latin script capitalised words.
+
+A name that stands once in the whole corpus has no statistics. Behind a label
+that introduces nothing but names it is found all the same, and wherever else it
+stands in that text.
 """
 
 from __future__ import annotations
@@ -23,9 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import keep
+
 KINDS = ("name", "phone", "email", "id_number", "address")
 #: A term is disclosing if it stands in a slot at least this many bits more often than chance, and in this share of its occurrences.
 DISCLOSURE_BITS, DISCLOSURE_SHARE, LEAST_SEEN = 4.0, 0.08, 2
+#: A Latin word seen less often than ``LEAST_SEEN`` is disclosing if this share of its occurrences stands in slots.
+SELDOM_SHARE = 0.5
+#: Terms and full names in slots that may come to the driver; the lexicon of a larger corpus must be learned from parts of it.
+MOST_TERMS = 5_000_000
 #: A family name needs no such share, since most of its characters are common words; it must fill slots with disclosing given names this often.
 LEAST_FAMILY = 2
 #: A term seen in this many slots of distinct texts must have partners of so much entropy.
@@ -34,19 +44,21 @@ SET_PHRASE_SEEN, SET_PHRASE_BITS = 4, 1.0
 _HAN = "[一-鿿]"
 _D = r"[0-9０-９]"
 _EMAIL = re.compile(
-    r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*(?:\s?[@＠]\s?|\s?[(\[（](?:at|AT)[)\]）]\s?|\s(?:at|AT)\s)(?:[A-Za-z0-9\-]+(?:\.|\s?[(\[](?:dot|DOT)[)\]]\s?))+[A-Za-z]{2,}(?![A-Za-z0-9])"
+    r"(?<![A-Za-z0-9._%+\-'’])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]|['’](?=[A-Za-z0-9]))*(?:\s?[@＠]\s?|\s?[(\[（](?:at|AT)[)\]）]\s?|\s(?:at|AT)\s)(?:[A-Za-z0-9\-]+(?:\.|\s?[(\[](?:dot|DOT)[)\]]\s?))+[A-Za-z]{2,}(?![A-Za-z0-9])"
 )
-_HOUSE = rf"(?:{_HAN}{{1,6}}?(?:路|街|大道|巷|弄|胡同|里){_D}+(?:弄{_D}+)?号(?:{_D}+(?:栋|幢|座|号楼)(?:{_D}+单元)?(?:{_D}+室?)?)?|{_HAN}{{1,4}}[镇乡]第?{_D}+村{_D}+组{_D}+号)"
+_HOUSE = rf"(?:{_HAN}{{1,6}}?(?:路|街|大道|巷|弄|胡同|里){_D}+(?:弄{_D}+)?号院?(?:{_D}+(?:栋|幢|座|号楼)(?:{_D}+单元)?(?:{_D}+室?)?)?|{_HAN}{{1,4}}[镇乡]第?{_D}+村{_D}+组{_D}+号)"
 _ADDRESS_HAN = re.compile(rf"{_HAN}{{2}}(?:市(?:{_HAN}{{2}}[区县])?|[区县]){_HOUSE}")
 _ADDRESS_EN = re.compile(
-    r"(?<![\w.])\d{1,5}[A-Za-z]? (?:[A-Z][a-z'’]+ ){1,3}(?:Avenue|Street|Lane|Drive|Road|Court|Close|Way|Crescent|Terrace|Place|Square|Row|Hill|Gardens|Mews|Quay|Walk|Parade|Grove|Boulevard)\b"
-    r"(?:, (?:Flat|Apt\.?|Unit|Suite|Apartment|Room) \w+)?(?:, [A-Z][a-z]+(?: (?:Bay|[A-Z][a-z]+))?(?:,? (?:[A-Z]{2,3} )?\d{4,6}\b)?)?"
+    r"(?<![\w.])(?:\d{1,5}[A-Za-z]?(?:[-–]\d{1,5})? (?:[A-Z][a-z'’]+ ){1,3}(?:(?:St|Rd|Ave|Ln|Dr|Ct|Blvd|Sq|Pl|Ter)\.?(?![\w.])|(?:Avenue|Street|Lane|Drive|Road|Court|Close|Way|Crescent|Terrace|Place|Square|Row|Hill|Gardens|Mews|Quay|Walk|Parade|Grove|Boulevard)\b)|P\.? ?O\.? Box \d{1,6}\b)"
+    r"(?:, (?:Flat|Apt\.?|Unit|Suite|Apartment|Room) \w+)?(?:, [A-Z][a-z]+(?: (?:Bay|[A-Z][a-z]+))?(?:,? (?:(?:[A-Z]{2,3} )?\d{4,6}\b|[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2}\b))?)?"
 )
+_ADDRESS_FR = re.compile(r"(?<![\w.])\d{1,4}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|quai|allée|impasse|chemin|cours)(?: (?:de la|de l[’']|des|du|de|d[’']))?(?: ?[A-ZÀ-Þ][\wÀ-ÿ'’\-]+){1,4}, \d{5} [A-ZÀ-Þ][a-zà-ÿ\-]+(?:[ -][A-ZÀ-Þ][a-zà-ÿ\-]+)*")
 _ADDRESS_DE = re.compile(
     r"(?:\b(?:Am|An der|An den|Im|In der|Zum|Zur|Auf der) )?\b[A-ZÄÖÜ][a-zäöüß\-]+(?: [A-ZÄÖÜ][a-zäöüß]+)? \d{1,4}[a-z]?, \d{5} [A-ZÄÖÜ][a-zäöüß]+(?: (?:am|an der|im|bei|ob der) [A-ZÄÖÜ][a-zäöüß]+)?"
 )
 _ID = re.compile(
     rf"(?<![0-9０-９A-Za-z])(?:{_D}{{6}}[ -]?(?:19|20|１９|２０){_D}{{6}}[ -]?{_D}{{3}}[0-9０-９XxＸｘ]|[A-Z]{{2}}{_D}{{7,8}}|{_D}{{3}}([ -]){_D}{{2}}\1{_D}{{4}})(?![0-9０-９A-Za-z])"
+    rf"|(?<=[Pp]assport: )[A-Z0-9]{{6,10}}(?![0-9A-Za-z])|(?<=[Pp]assport (?:no|No)\. )[A-Z0-9]{{6,10}}(?![0-9A-Za-z])|(?<=[Pp]assport )(?=[A-Z0-9]*\d)[A-Z0-9]{{6,10}}(?![0-9A-Za-z])|(?<=护照号[:：])[A-Z0-9]{{6,10}}(?![0-9A-Za-z])"
 )
 _PHONE = re.compile(
     rf"(?<![0-9０-９A-Za-z.\-+])(?:"
@@ -56,6 +68,8 @@ _PHONE = re.compile(
     rf"|[(（]{_D}{{3,4}}[)）][ -]?{_D}{{3,4}}[ .-]?{_D}{{3,4}}"
     rf"|[0０]{_D}{{2,3}}[ -]{_D}{{7,8}}"
     rf"|0{_D}{{4}} {_D}{{6}}"
+    rf"|[+＋](?!86){_D}{{1,3}}(?:[ .-]{_D}{{1,2}}){{4,6}}|0{_D}(?:[ .]{_D}{{2}}){{4}}"
+    rf"|0{_D}{{2}} {_D}{{4}} {_D}{{4}}|0{_D}{{3}} {_D}{{3}} {_D}{{4}}"
     rf"|0{_D}{{1,4}}/{_D}{{3,6}}-{_D}{{1,5}}"
     rf"|{_D}{{3}}([.-]){_D}{{3}}\1{_D}{{4}}"
     rf")(?![0-9０-９A-Za-z])"
@@ -67,25 +81,35 @@ _SLOT_HAN = re.compile(rf"(?:{_BEFORE_HAN})({_HAN}{{2,4}}?)(?={_BEHIND_HAN})")
 _SLOT_HAN_BRACKET = re.compile(rf"(?:{_D})[（(]({_HAN}{{2,4}})[）)]|(?:^|[。；;\n：:])({_HAN}{{2,4}})（患者之")
 # Common family names of two characters.
 _DOUBLE = ("欧阳", "司徒", "尉迟", "令狐", "澹台", "上官", "诸葛", "司马", "皇甫", "东方", "慕容", "公孙", "夏侯", "长孙", "端木", "轩辕", "宇文", "独孤", "南宫", "百里")
+# The commonest family names of one character.
+_FAMILIES = frozenset("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文欧柳闻蓝温庄柯葛")
+# Labels behind which nothing but a person's name stands, and forms of address that are no given names.
+_LABEL_HAN = re.compile(rf"(?:联系人|患者姓名[:：]|姓名[:：]|经办人[:：]|曾用名|签字[:：]|签名[:：]|记录者[:：])({_HAN}{{2,4}}?)(?={_BEHIND_HAN}|[\s\d]|$)")
+_NO_GIVEN = re.compile("先生|女士|医生|医师|护士|主任|教授|电话|未|无|不|已|待")
 _WORD = r"[A-Z][a-zäöüß]+(?:-[A-Z][a-zäöüß]+)*"
 _LATIN = re.compile(rf"\b{_WORD}\b")
 _FULL = rf"{_WORD}(?:,? {_WORD})|[A-Z]\. {_WORD}"
 _SLOT_LATIN = re.compile(
     rf"(?:Next of kin is |ask for |Spoke with |shown by |Signed,? |signed by |Seen by |seen by |(?:Mr|Mrs|Ms|Dr|Prof)\. )({_FULL})|({_FULL})(?= wrote from |, who[’']ll phone| asked that the report)"
 )
+_LABEL_LATIN = re.compile(rf"(?:Next of kin is |Next of kin: |Spoke with |Signed,? |\b(?:Mr|Mrs|Ms|Dr|Prof)\. )((?:{_WORD}),? (?:{_WORD}))(?![A-Za-z'’\-])")
 _NAME_LATIN = re.compile(rf"\b(?:{_WORD}, {_WORD}|{_WORD} {_WORD}|[A-Z]\. {_WORD})")
+# Capitalised words that stand behind a title or a call without being names.
+_NO_NAMES = frozenset("The Next Radiology Pathology Surgery Oncology Nutrition Pharmacy Laboratory Department Ward Clinic Team Desk Hospital Unit Office Registry Gastroenterology Anaesthesia Nursing Emergency Cardiology Endocrinology Medicine Records Patient Family".split())
 _PLACE = {"address": "〔ADDRESS〕", "email": "〔EMAIL〕", "phone": "〔PHONE〕", "id_number": "〔ID〕", "name": "〔NAME〕"}
 
 
 _AT = re.compile(r"[@＠]|[(\[（ ](?:at|AT)[)\]） ][A-Za-z0-9\-]+(?:\.|\s?[(\[])")
-_NUMBER_ROW = re.compile(rf"{_D}[0-9０-９ .\-/()（）]{{5,}}{_D}|[A-Z]{{2}}{_D}{{7}}")
+_NUMBER_ROW = re.compile(rf"{_D}[0-9０-９ .\-/()（）]{{5,}}{_D}|[A-Z]{{2}}{_D}{{7}}|[Pp]assport|护照号")
 _POSTED = re.compile(r"\d, \d{5} ")
-_NUMBERED = re.compile(r"\d[A-Za-z]? [A-Z][a-z]")
+_NUMBERED = re.compile(r"\d[A-Za-z]? [A-Z][a-z]|Box \d")
+_STREET_FR = re.compile(r"\d,? (?:bis |ter )?(?:rue|avenue|boulevard|place|quai|allée|impasse|chemin|cours) ")
 #: Kind, cheap test whether the form can occur at all, pattern.
 _FORMS = (
     ("email", lambda t: _AT.search(t) is not None, _EMAIL),
     ("address", lambda t: "号" in t, _ADDRESS_HAN),
     ("address", lambda t: _NUMBERED.search(t) is not None, _ADDRESS_EN),
+    ("address", lambda t: _STREET_FR.search(t) is not None, _ADDRESS_FR),
     ("address", lambda t: _POSTED.search(t) is not None, _ADDRESS_DE),
     ("id_number", lambda t: _NUMBER_ROW.search(t) is not None, _ID),
     ("phone", lambda t: _NUMBER_ROW.search(t) is not None, _PHONE),
@@ -196,9 +220,11 @@ def disclosing_terms(rows: list[tuple[str, str, int, int, int]]) -> dict[str, fr
 
     chosen: dict[str, set[str]] = {"family": set(), "given": set(), "word": set()}
     for kind, term, slots, everywhere, copies in rows:
-        if kind == "name" or copies < LEAST_SEEN or not everywhere or not total[kind][0]:
+        if kind == "name" or not everywhere or not total[kind][0]:
             continue
         share = slots / everywhere
+        if copies < LEAST_SEEN and (kind == "given" or share < SELDOM_SHARE or term in _NO_NAMES):
+            continue
         bits = math.log2(share * total[kind][1] / total[kind][0])
         # where nearly every term is a name, chance explains much: the share alone decides
         if share >= DISCLOSURE_SHARE and (bits >= DISCLOSURE_BITS or share >= 0.25) and (kind == "word" or varied("given", term)):
@@ -212,8 +238,8 @@ def disclosing_terms(rows: list[tuple[str, str, int, int, int]]) -> dict[str, fr
 def learn_lexicon(texts: DataFrame) -> dict[str, frozenset[str]]:
     """Count terms over all distinct texts of ``texts`` (text) and keep the disclosing ones.
 
-    Only terms and full names that stand in a slot come to the driver; their number
-    is bounded by the names there are, not by the corpus. Null texts count as empty.
+    Only terms and full names that stand in a slot come to the driver, once they are
+    counted and no more than ``MOST_TERMS``. Null texts count as empty.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,8 +250,12 @@ def learn_lexicon(texts: DataFrame) -> dict[str, frozenset[str]]:
 
     distinct = texts.where("text <> ''").groupBy("text").agg(F.count("*").alias("copies"))
     counted = distinct.mapInPandas(count, "kind string, term string, slots bigint, everywhere bigint, rows bigint")
-    summed = counted.groupBy("kind", "term").agg(*(F.sum(c).alias(c) for c in ("slots", "everywhere", "rows"))).where("slots > 0")
-    return disclosing_terms([tuple(r) for r in summed.collect()])
+    summed = keep(counted.groupBy("kind", "term").agg(*(F.sum(c).alias(c) for c in ("slots", "everywhere", "rows"))).where("slots > 0"))
+    if summed.count() > MOST_TERMS:
+        raise ValueError("more names stand in slots than one lexicon may hold; learn it from parts of the corpus")
+    terms = [tuple(r) for r in summed.collect()]
+    summed.unpersist()
+    return disclosing_terms(terms)
 
 
 def name_pattern(lexicon: dict[str, frozenset[str]]) -> re.Pattern | None:
@@ -254,9 +284,29 @@ def spans_of(text: str, lexicon: dict[str, frozenset[str]], pattern: re.Pattern
             at = m.end()
         else:
             at = m.start() + (3 if initial else len(re.match(_WORD, m[0])[0]))
+    names += _labelled(masked, names, lexicon["word"])
     return sorted(spans + [(a, b, "name") for a, b in names])
 
 
+def _labelled(masked: str, names: list[tuple[int, int]], words: frozenset[str]) -> list[tuple[int, int]]:
+    """Spans of names that the lexicon does not hold: those behind a label, and where else they stand in the text."""
+    taken = masked
+    for start, end in names:
+        taken = taken[:start] + "\u0000" * (end - start) + taken[end:]
+    found = []
+    for m in _LABEL_HAN.finditer(taken):
+        parts = _split_han(m[1])
+        if parts and (parts[0] in _FAMILIES or parts[0] in _DOUBLE) and not _NO_GIVEN.search(parts[1]):
+            found.append(m[1])
+    found.extend(m[1] for m in _LABEL_LATIN.finditer(taken) if not any(w in _NO_NAMES for w in _LATIN.findall(m[1])))
+    out = []
+    for name in sorted(set(found), key=lambda n: (-len(n), n)):
+        for m in re.finditer(re.escape(name), taken):
+            out.append(m.span())
+        taken = taken.replace(name, "\u0000" * len(name))
+    return out
+
+
 def _worker(lexicon: dict[str, frozenset[str]]):
     pattern = name_pattern(lexicon)
 
