@@ -115,5 +115,5 @@ def canonical_rows(rows: DataFrame, reference: DataFrame) -> DataFrame:
     compared, so repeated entries cost one lookup.
     """
     listed = reference.select(F.col("form").alias("entry")).where("entry IS NOT NULL").distinct()
-    free = rows.where("entry IS NOT NULL").join(F.broadcast(listed), "entry", "left_anti")
+    free = rows.where("entry IS NOT NULL").join(listed, "entry", "left_anti")
     return free.join(map_entries(free.select("entry"), reference).select("entry", "code"), "entry").select("row_id", "code")

@@ -34,6 +34,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return versions.expand(members, pairs).select(F.col("id_a").alias("note_id_a"), F.col("id_b").alias("note_id_b"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every note of at least 40 characters with its class of identical texts and the number of other classes close to it."""
+    members, pairs = versions.close_versions(table(spark, folder, "hewv_fictional_bundle"), "note_id", "document_text")
+    return versions.linked(members, pairs).select(F.col("id").alias("note_id"), "class_id", "links")
+
+
 _TEXTS = (("fictional_raw_records", "rec_id", "text"), ("hewv_fictional_bundle", "note_id", "document_text"))
 
 
@@ -59,6 +65,18 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text", tokens.vocabulary_path()).select(F.col("id").alias("doc_id"), "ids")
 
 
+def p7_ids_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document with texts of more than 512 characters joined up the tree, and whether they are those of ``p7_ids``."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    plain, split = (tokens.encode_corpus(docs, "doc_id", "text", tokens.vocabulary_path(), n) for n in (tokens.SPLIT_CHARS, 512))
+    return split.join(plain.select("id", F.col("ids").alias("plain")), "id").select(F.col("id").alias("doc_id"), "ids", (F.col("ids") == F.col("plain")).cast("bigint").alias("equal"))
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest run of each leaked item in each document, as places in the original text."""
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of test items."""
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
@@ -80,8 +98,24 @@ def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p2_found, p3_found, p6_found, p6_clean, p7_ids, p8_found, p9_found, p9_sources)}
+    return {q.__name__: q for q in (p2_found, p3_found, p3_classes, p6_found, p6_clean, p7_ids, p7_ids_split, p8_found, p8_spans, p9_found, p9_sources)}
+
+
+# Brute force in another engine: every pair of notes that share a piece.
+_NOTE_PIECES = """
+WITH d AS (SELECT min(note_id) AS class_id, document_text AS t FROM hewv_fictional_bundle WHERE length(document_text) >= 40 GROUP BY 2),
+p AS (SELECT DISTINCT class_id, substr(t, i, 4) AS piece FROM (SELECT class_id, t, unnest(range(1, length(t) - 2)) AS i FROM d)),
+n AS (SELECT class_id, count(*) AS n FROM p GROUP BY 1),
+s AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS m FROM p a JOIN p b ON a.piece = b.piece AND a.class_id < b.class_id GROUP BY 1, 2),
+c AS (SELECT a, b FROM s JOIN n x ON a = x.class_id JOIN n y ON b = y.class_id WHERE m * 10 >= 7 * greatest(x.n, y.n)),
+m AS (SELECT note_id, class_id FROM hewv_fictional_bundle JOIN d ON document_text = t)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": _NOTE_PIECES + """
+SELECT least(x.note_id, y.note_id) AS note_id_a, greatest(x.note_id, y.note_id) AS note_id_b FROM c JOIN m x ON c.a = x.class_id JOIN m y ON c.b = y.class_id
+UNION ALL SELECT x.note_id, y.note_id FROM m x JOIN m y ON x.class_id = y.class_id AND x.note_id < y.note_id""",
+        "p3_classes": _NOTE_PIECES + """
+SELECT note_id, m.class_id, coalesce(l.links, 0) AS links FROM m LEFT JOIN (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM c UNION ALL SELECT b FROM c) GROUP BY 1) l ON m.class_id = l.class_id""",
+    }

@@ -14,6 +14,7 @@ encoding, so the result equals that of the whole text.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """The encoder of a rank file; one per worker."""
+    """The encoder of a rank file; one per worker. A worker without the file takes the one shipped with the job."""
     import tiktoken
 
+    if not os.path.exists(path):
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -164,8 +168,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str, split_ch
     """Token ids (id, ids) of every row, without special tokens.
 
     Empty and null texts give an empty list; strings that look like special
-    tokens are ordinary text. Repeated rows are repeated in the result.
+    tokens are ordinary text. Repeated rows are repeated in the result. The rank
+    file at ``path`` is shipped to the executors.
     """
+    df.sparkSession.sparkContext.addFile(path)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     id_type = pa.int64() if kind == "bigint" else None
@@ -182,9 +188,9 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str, split_ch
 
     short = docs.where(f"text IS NULL OR length(text) <= {split_chars}").mapInArrow(whole, f"id {kind}, ids array<int>")
 
-    @F.udf("array<struct<piece:string,severed:boolean>>")
-    def split(text: str) -> list[tuple[str, bool]]:
-        return halves(text, split_chars)
+    @F.pandas_udf("array<struct<piece:string,severed:boolean>>")
+    def split(column: pd.Series) -> pd.Series:
+        return column.map(lambda text: [{"piece": piece, "severed": severed} for piece, severed in halves(text, split_chars)])
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
