@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.spans import spans
+
 CLAUSE_END = "[。；;！!？?\\n]+"
 
 
@@ -120,3 +122,68 @@ def date_behind(text: Column, literal: str) -> Column:
     at = F.instr(text, literal)
     rest = F.substring(text, at + len(literal), F.length(text))
     return F.when(at > 0, F.nullif(F.regexp_extract(rest, f"({DATE})", 1), F.lit("")))
+
+
+def affirmed_within(text: Column, pattern: str, negation: str, before: int) -> Column:
+    """Whether some match of the pattern has no negation in the ``before`` characters in front of it; null texts have none."""
+    window = lambda s: F.right(F.substring(text, F.lit(1), s["start"]), F.lit(before))
+    return F.exists(spans(text, pattern), lambda s: ~window(s).rlike(negation))
+
+
+def certainty(text: Column, pattern: str, doubt: str) -> Column:
+    """strong if some clause with the pattern holds no doubt, uncertain if all hold one, none without such a clause."""
+    held = F.filter(clauses(F.coalesce(text, F.lit(""))), lambda c: c.rlike(pattern))
+    return F.when(F.exists(held, lambda c: ~c.rlike(doubt)), "strong").when(F.size(held) > 0, "uncertain").otherwise("none")
+
+
+def snippets(text: Column, pattern: str, before: int, behind: int, mark: str, most: int) -> Column:
+    """The text around every match of a pattern, repeated ones once, joined by a mark and cut to ``most`` characters."""
+    start = lambda s: F.greatest(s["start"] - before, F.lit(0))
+    around = F.transform(spans(text, pattern), lambda s: F.substring(text, start(s) + 1, s["end"] + behind - start(s)))
+    return F.left(F.array_join(F.array_distinct(around), mark), F.lit(most))
+
+
+def size_mm(text: Column) -> Column:
+    """The largest measure of a text in millimetres, centimetres converted; of ``a×b×c unit`` the largest side. Null where there is none."""
+    sides = F.flatten(
+        F.transform(
+            F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?(?:×[0-9]+(?:\.[0-9]+)?)*\s?[cm]m)"), F.lit(1)),
+            lambda m: F.transform(F.split(F.regexp_replace(m, r"\s?[cm]m$", ""), "×"), lambda x: x.try_cast("double") * F.when(m.endswith("cm"), 10.0).otherwise(1.0)),
+        )
+    )
+    return F.array_max(sides)
+
+
+def number_of(numeric: Column, text: Column) -> Column:
+    """A number column where it holds a number, else the first number of the text; NaN counts as none."""
+    return F.coalesce(F.when(~F.isnan(numeric), numeric), first_number(text))
+
+
+def citation(ident: Column, at: Column, quote: Column) -> Column:
+    """``id@time:quote``; null where a part is missing."""
+    return F.concat(ident, F.lit("@"), at, F.lit(":"), quote)
+
+
+def redacted(text: Column, forbidden: str, most: int) -> Column:
+    """The clauses without the forbidden pattern; where none is left, what stands before its first occurrence, up to ``most`` characters; else null."""
+    first = F.try_element_at(F.split(text, forbidden, 2), F.lit(1))
+    return F.coalesce(safe_sentences(text, forbidden), F.nullif(F.left(first, F.lit(most)), F.lit("")))
+
+
+def holds_any(text: Column, markers: Column) -> Column:
+    """Whether a text holds any of an array's markers; null and empty markers are in no text."""
+    return F.coalesce(F.exists(F.filter(markers, lambda m: m != ""), lambda m: F.contains(text, m)), F.lit(False))
+
+
+def all_of(text: Column, patterns: Sequence[str]) -> Column:
+    """Whether a text holds every pattern, the cheapest first; null texts hold none."""
+    out = F.lit(True)
+    for pattern in patterns:
+        out = out & text.rlike(pattern)
+    return F.coalesce(out, F.lit(False))
+
+
+def without_null_words(text: Column, words: Sequence[str]) -> Column:
+    """A text with blanks compacted; null where it is blank or a word that stands for nothing."""
+    plain = compact(text)
+    return F.when((plain != "") & ~plain.isin(*words), plain)

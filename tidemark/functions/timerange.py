@@ -92,3 +92,86 @@ def first_present(*values: Column) -> Column:
 def first_readable(*values: Column) -> Column:
     """The first value that can be read as a time; unreadable ones fall through."""
     return F.coalesce(*[parse_range(v) for v in values])
+
+
+# The same written time anywhere in a text, for search.
+FIND = r"20\d{2}\s*[-/.年]\s*\d{1,2}\s*[-/.月]\s*\d{1,2}\s*日?(?:[T\s]*\d{1,2}\s*[:：时]\s*\d{1,2}\s*分?(?:\s*[:：]?\s*\d{1,2}(?:\.\d+)?\s*秒?)?)?"
+
+
+def document_time(text: Column, label: str = "记录时间") -> Column:
+    """(time, issue) of a document: the time at its head and those behind the label must be one and the same.
+
+    Without any the issue is DOCUMENT_TIME_MISSING, with different ones
+    DOCUMENT_TIME_AMBIGUOUS; impossible times do not count. Null texts have none.
+    """
+    head = F.regexp_extract(text, rf"^\s*({FIND})", 1)
+    labelled = F.regexp_extract_all(text, F.lit(rf"{label}\s*[:：]\s*({FIND})"), F.lit(1))
+    found = F.array_distinct(F.filter(F.transform(F.concat(F.array(head), F.coalesce(labelled, F.array().cast("array<string>"))), parse_range), lambda r: r.isNotNull()))
+    n = F.size(found)
+    return F.struct(F.when(n == 1, F.try_element_at(found, F.lit(1))).alias("time"), F.when(n == 1, F.lit(None).cast("string")).when(n > 1, "DOCUMENT_TIME_AMBIGUOUS").otherwise("DOCUMENT_TIME_MISSING").alias("issue"))
+
+
+def header_time(text: Column) -> Column:
+    """The start of the time a document begins with, null where it begins with none."""
+    return parse_range(F.regexp_extract(text, rf"^\s*(?:[^\d\s]{{1,8}}\s*[:：]\s*)?({FIND})", 1))["start"]
+
+
+def future_dates(text: Column, cutoff: Column) -> Column:
+    """The written times that lie behind the cutoff, distinct and sorted; a date alone counts on the cutoff's own day only if the cutoff is that midnight."""
+    day, midnight = F.to_date(cutoff), F.date_trunc("DAY", cutoff) == cutoff
+
+    def later(m: Column) -> Column:
+        r = parse_range(m)
+        dated = (F.to_date(r["start"]) > day) | ((F.to_date(r["start"]) == day) & midnight)
+        return F.coalesce(F.when(r["precision"] == "day", dated).otherwise(r["start"] >= cutoff), F.lit(False))
+
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(FIND), F.lit(0)), later)))
+
+
+def exact_time(text: Column) -> Column:
+    """A full time without zone, of 16 characters at least; dates alone and times with a zone are null."""
+    plain = F.length(text) >= 16
+    return F.when(plain & text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?\z"), F.replace(text, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"))
+
+
+def iso_date(text: Column) -> Column:
+    """The date of a value written as a date, a time, or eight digits; impossible dates are null."""
+    parts = [F.regexp_extract(F.trim(text), r"^(\d{4})(?:[-/.年])?(\d{1,2})(?:[-/.月])?(\d{1,2})(?:\D.*)?\z", i).try_cast("int") for i in (1, 2, 3)]
+    readable = F.trim(text).rlike(r"^(\d{8}(\D.*)?|\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}(\D.*)?)\z")
+    return F.when(readable, F.to_date(F.try_make_timestamp_ntz(parts[0], parts[1], parts[2], F.lit(0), F.lit(0), F.lit(0))))
+
+
+def decision_time(citation: Column, day: Column) -> Column:
+    """(time, basis): the time cited behind ``@``, else the last second of the day as a proxy."""
+    cited = F.regexp_extract(citation, r"@(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2})?)", 1)
+    exact = F.replace(F.nullif(cited, F.lit("")), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+    proxy = day.cast("date").cast("timestamp_ntz") + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")
+    return F.struct(F.coalesce(exact, proxy).alias("time"), F.when(exact.isNotNull(), "cited").when(proxy.isNotNull(), "end_of_day").otherwise("unknown").alias("basis"))
+
+
+def first_named(fields: dict[str, Column]) -> Column:
+    """(time, field): the first field that can be read as a time, and its name."""
+    return F.coalesce(*[F.when(parse_range(c).isNotNull(), F.struct(parse_range(c).alias("time"), F.lit(name).alias("field"))) for name, c in fields.items()])
+
+
+def first_given(fields: dict[str, Column], missing: str = "MISSING_AVAILABILITY_TIME") -> Column:
+    """(time, basis): the first field that is filled at all, and its name, or INVALID_ with its name where it cannot be read."""
+    out = None
+    for name, c in fields.items():
+        value = F.struct(parse_range(c).alias("time"), F.when(parse_range(c).isNotNull(), name).otherwise(f"INVALID_{name}").alias("basis"))
+        filled = F.coalesce(c, F.lit("")) != ""
+        out = F.when(filled, value) if out is None else out.when(filled, value)
+    empty = F.struct(F.lit(None).cast("struct<start:timestamp_ntz,end:timestamp_ntz,precision:string>").alias("time"), F.lit(missing).alias("basis"))
+    return empty if out is None else out.otherwise(empty)
+
+
+def received(known: Column, receipt: Column) -> Column:
+    """(time, basis) of a record from outside: it counts from its receipt, if that lies wholly behind its own time.
+
+    Known times from outside do not establish the receipt: where the two overlap
+    the order is uncertain, and where one is missing it is unknown; if the receipt
+    lies wholly before, the record counts from its own time.
+    """
+    time = F.when(receipt["start"] >= known["end"], receipt).when(known["start"] >= receipt["end"], known)
+    basis = F.when(known.isNull() | receipt.isNull(), "EXTERNAL_RECEIPT_OR_RELEASE_UNKNOWN").when(receipt["start"] >= known["end"], "hospital_received_time").when(known["start"] < receipt["end"], "EXTERNAL_RECEIPT_ORDER_UNCERTAIN").otherwise("own_time")
+    return F.struct(time.alias("time"), basis.alias("basis"))

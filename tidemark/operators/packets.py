@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,12 @@ def ordinal_ids(df: DataFrame, arrays: Sequence[tuple[str, str]], key: str, fiel
     return out
 
 
+def numbered(df: DataFrame, key: str, prefix: str, order: str) -> DataFrame:
+    """Add ``source_id``: the row's prefix and its ordinal among the key's rows of that prefix (``DOC0001``)."""
+    w = Window.partitionBy(key, prefix).orderBy(order)
+    return df.withColumn("source_id", F.concat(F.col(prefix), F.format_string("%04d", F.row_number().over(w))))
+
+
 def rendered(df: DataFrame, key: str, order: Sequence[str], text: str, mark: str = "\n---\n") -> DataFrame:
     """The texts of a key in order, joined by a mark; pipes and line ends of a text are escaped."""
     clean = F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
