@@ -64,7 +64,9 @@ def inventory(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def frozen_differences(frozen: DataFrame, rebuilt: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows of a frozen dataset that a rebuild does not give again, with the columns that differ; missing rows differ in all."""
-    a, b = frozen.select(*keys, F.struct(*columns).alias("_a")), rebuilt.select(*keys, F.struct(*columns).alias("_b"))
+    """Rows that differ between a frozen dataset and its rebuild: the columns that differ, ``missing`` where the rebuild lacks the row, ``extra`` where only it has it."""
+    a = frozen.select(*keys, F.struct(*columns).alias("_a"), F.lit(True).alias("_in_a"))
+    b = rebuilt.select(*keys, F.struct(*columns).alias("_b"), F.lit(True).alias("_in_b"))
     names = F.array_compact(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns]))
-    return a.join(b, list(keys), "full_outer").withColumn("differs", F.array_join(names, ",")).where("differs <> ''").select(*keys, "differs")
+    differs = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "extra").otherwise(F.array_join(names, ","))
+    return a.join(b, list(keys), "full_outer").withColumn("differs", differs).where("differs <> ''").select(*keys, "differs")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def first_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key; nulls come last. A map-side minimum, no sort of the whole key."""
@@ -35,7 +37,7 @@ def daily(df: DataFrame, key: str, at: str, label: str) -> DataFrame:
 def last_n(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:
     """The last ``n`` rows of each key. Spark keeps only ``n`` rows per key before the shuffle (window group limit)."""
     w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= n)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).withColumn("place", F.col("place").cast("bigint"))
 
 
 def trend(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
@@ -48,11 +50,12 @@ def trend(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFram
 def ranked_ids(df: DataFrame, order: Sequence[Column], prefix: str, width: int, key: str) -> DataFrame:
     """Dense ids in a global order, without a one-task window.
 
-    The rows are range-partitioned by the order and counted by partition; each
-    partition numbers its own rows behind those before it.
+    The rows are range-partitioned by the order, checkpointed so that a lost
+    executor cannot move a row to another part, and counted by part; each part
+    numbers its own rows behind those before it. The order must be total.
     """
     ordered = df.select(key, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_o")).repartitionByRange("_o").sortWithinPartitions("_o")
-    ordered = ordered.withColumn("_part", F.spark_partition_id()).persist()
+    ordered = cut(ordered.withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ordered.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy("_part").orderBy("_o")
@@ -60,10 +63,12 @@ def ranked_ids(df: DataFrame, order: Sequence[Column], prefix: str, width: int,
 
 
 def quota(df: DataFrame, group: str, order: Sequence[str], limits: dict[str, int], other: int = 0) -> DataFrame:
-    """The first rows of each group up to its limit."""
+    """The first rows of each group up to its limit. No more than the largest limit of a group pass its shuffle."""
     w = Window.partitionBy(group).orderBy(*order)
     limit = F.coalesce(*[F.when(F.col(group) == g, n) for g, n in limits.items()], F.lit(other))
-    return df.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= limit)
+    # the constant bound is what the group limit before the shuffle is made of
+    near = df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max([other, *limits.values()]))
+    return near.where(F.col("place") <= limit).withColumn("place", F.col("place").cast("bigint"))
 
 
 def hash_order(seed: str, ident: str) -> Column:
@@ -74,7 +79,7 @@ def hash_order(seed: str, ident: str) -> Column:
 def hash_sample(df: DataFrame, stratum: str, ident: str, seed: str, n: int) -> DataFrame:
     """``n`` rows of each stratum in hash order: the same rows on every run and cluster."""
     w = Window.partitionBy(stratum).orderBy(hash_order(seed, ident), ident)
-    return df.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= n)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).withColumn("place", F.col("place").cast("bigint"))
 
 
 def split_bands(df: DataFrame, ident: str, seed: str, bands: Sequence[tuple[str, int]]) -> DataFrame:
@@ -95,10 +100,9 @@ def balanced_fill(df: DataFrame, group: str, order: Sequence[str], sizes: dict[s
     before the fill.
     """
     start = F.coalesce(*[F.when(F.col(group) == g, s) for g, s in sizes.items()], F.lit(0))
-    turn = start + F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    # no group can give more than n, so the rest is dropped before the total order
-    near = df.withColumn("turn", turn.cast("bigint")).where(F.col("turn") - start < n)
-    return near.orderBy("turn", group, *order).limit(n)
+    # no group can give more than n, so the rest is dropped before the shuffle
+    near = df.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_place") <= n)
+    return near.withColumn("turn", (start + F.col("_place") - 1).cast("bigint")).drop("_place").orderBy("turn", group, *order).limit(n)
 
 
 def allocate(df: DataFrame, group: str, n: int) -> DataFrame:

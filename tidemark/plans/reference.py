@@ -90,12 +90,10 @@ def time_precision_of_records(spark, folder):
 
 
 @query("""
-SELECT image_row_id, epoch_us(TRY_CAST(coalesce(nullif(trim(report_time), ''), nullif(trim(exam_datetime), '')) AS TIMESTAMP)) AS known_us FROM imaging_all
-WHERE regexp_matches(coalesce(nullif(trim(report_time), ''), nullif(trim(exam_datetime), '')), '^20[0-9]{2}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$')""")
+SELECT image_row_id, epoch_us(TRY_CAST(coalesce(nullif(trim(report_time), ''), nullif(trim(exam_datetime), '')) AS TIMESTAMP)) AS known_us FROM imaging_all""")
 def first_present_time(spark, folder):
     first = timerange.first_present(F.col("report_time"), F.col("exam_datetime"))
-    df = table(spark, folder, "imaging_all").select("image_row_id", F.trim(first).alias("t"))
-    return df.where(F.col("t").rlike(r"^20\d{2}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")).select("image_row_id", _us(timerange.parse_range(F.col("t"))["start"]).alias("known_us"))
+    return table(spark, folder, "imaging_all").select("image_row_id", first.alias("t")).select("image_row_id", _us(timerange.parse_range(F.col("t"))["start"]).alias("known_us"))
 
 
 @query("""
@@ -122,12 +120,13 @@ def patient_spans(spark, folder):
 
 @query("""
 SELECT coalesce(o.note_id, n.note_id) AS note_id, CASE WHEN o.note_id IS NULL THEN 'added' WHEN n.note_id IS NULL THEN 'removed' WHEN o.t <> n.t THEN 'changed' ELSE 'same' END AS change
-FROM (SELECT note_id, coalesce(document_text, '') AS t FROM hewv_fictional_bundle WHERE note_id % 7 <> 0) o
-FULL JOIN (SELECT note_id, trim(coalesce(document_text, '')) || CASE WHEN visit_id IS NULL THEN '' ELSE visit_id END AS t FROM hewv_fictional_bundle WHERE coalesce(document_title, '') <> '会诊记录') n ON o.note_id = n.note_id""")
+FROM (SELECT note_id, coalesce(document_text, '') AS t FROM hewv_fictional_bundle WHERE visit_id IS NOT NULL) o
+FULL JOIN (SELECT note_id, trim(coalesce(document_text, '')) || CASE WHEN visit_id IS NULL THEN '' ELSE visit_id END AS t FROM hewv_fictional_bundle WHERE visit_id IS NULL OR coalesce(document_title, '') <> '会诊记录') n ON o.note_id = n.note_id""")
 def packet_version_changes(spark, folder):
     notes = table(spark, folder, "hewv_fictional_bundle")
-    old = notes.where("note_id % 7 <> 0").select("note_id", F.coalesce("document_text", F.lit("")).alias("t"))
-    new = notes.where("coalesce(document_title, '') <> '会诊记录'").select("note_id", F.concat(F.trim(F.coalesce("document_text", F.lit(""))), F.coalesce("visit_id", F.lit(""))).alias("t"))
+    # every note is in one version or in both
+    old = notes.where("visit_id IS NOT NULL").select("note_id", F.coalesce("document_text", F.lit("")).alias("t"))
+    new = notes.where("visit_id IS NULL OR coalesce(document_title, '') <> '会诊记录'").select("note_id", F.concat(F.trim(F.coalesce("document_text", F.lit(""))), F.coalesce("visit_id", F.lit(""))).alias("t"))
     return packets.packet_changes(old, new, ["note_id"], "t")
 
 
@@ -166,9 +165,9 @@ def asof_backward_fresh(spark, folder):
 
 
 @query("""
-WITH g AS (SELECT p.event_id, c.event_id AS click_id, date_diff('microsecond', p.ts, c.ts) // 1000000 + CASE WHEN c.ts < p.ts AND date_diff('microsecond', p.ts, c.ts) % 1000000 <> 0 THEN 0 ELSE 0 END AS gap
+WITH g AS (SELECT p.event_id, c.event_id AS click_id, date_diff('microsecond', p.ts, c.ts) AS gap
   FROM events p JOIN events c ON p.user_id = c.user_id AND c.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts + INTERVAL 2 DAY WHERE p.event_type = 'purchase' AND c.event_type = 'click')
-SELECT event_id, click_id, CAST(gap AS BIGINT) AS gap_seconds FROM g QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(gap), gap, click_id) = 1""")
+SELECT event_id, click_id, gap AS gap_us FROM g QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(gap), gap, click_id) = 1""")
 def asof_nearest_asymmetric(spark, folder):
     events, clicks = _events(spark, folder, "purchase"), _events(spark, folder, "click").withColumnRenamed("event_id", "click_id")
     return joins.nearest(events, clicks, "user_id", "event_id", "ts", "click_id", "ts", 1, 2)
@@ -194,8 +193,7 @@ def forward_interval_first(spark, folder):
 SELECT p.event_id, count(c.event_id) AS n FROM events p LEFT JOIN events c ON p.user_id = c.user_id AND c.ts >= p.ts - INTERVAL 2 DAY AND c.ts < p.ts
 WHERE p.event_type = 'purchase' GROUP BY 1""")
 def lookback_window_counts(spark, folder):
-    inside = timerange.lookback(F.col("r.ts"), F.col("l.ts"), 2, inclusive=False)
-    return joins.counts_within(_events(spark, folder, "purchase"), _events(spark, folder), "user_id", "event_id", inside)
+    return joins.counts_between(_events(spark, folder, "purchase"), _events(spark, folder), "user_id", "event_id", "ts", F.col("ts") - F.expr("INTERVAL '2' DAY"), F.col("ts"), with_start=True)
 
 
 @query("""
@@ -215,7 +213,7 @@ def between_consecutive_counts(spark, folder):
     from pyspark.sql import Window
 
     steps = _events(spark, folder, "purchase").withColumn("nxt", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return joins.counts_within(steps, _events(spark, folder, "error"), "user_id", "event_id", (F.col("r.ts") > F.col("l.ts")) & (F.col("r.ts") < F.col("l.nxt")))
+    return joins.counts_between(steps, _events(spark, folder, "error"), "user_id", "event_id", "ts", F.col("ts"), F.col("nxt"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -527,9 +525,10 @@ def size_extract_max(spark, folder):
 
 
 @query("""
-SELECT doc_id, trim(regexp_replace(regexp_replace('<doc><title>' || coalesce(document_title, '') || '</title><p>' || source || '</p></doc>', '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents""")
+SELECT doc_id, trim(regexp_replace(regexp_replace('<doc><title>' || coalesce(document_title, '') || '</title><p>' || replace(coalesce(text, ''), '<', '&lt;') || '</p></doc>', '<[^>]*>', ' ', 'g'), '[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B]+', ' ', 'g')) AS plain FROM documents""")
 def legacy_markup_text(spark, folder):
-    markup = F.concat(F.lit("<doc><title>"), F.coalesce("document_title", F.lit("")), F.lit("</title><p>"), F.col("source"), F.lit("</p></doc>"))
+    # whole texts, escaped, stand in the markup
+    markup = F.concat(F.lit("<doc><title>"), F.coalesce("document_title", F.lit("")), F.lit("</title><p>"), F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit("&lt;")), F.lit("</p></doc>"))
     return table(spark, folder, "documents").select("doc_id", text.tag_text(markup).alias("plain"))
 
 
@@ -541,10 +540,9 @@ def evidence_search_top_k(spark, folder):
 
 
 @query("""
-SELECT doc_id, CAST(nullif(regexp_extract(text, '(-?[0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE) AS first FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[0-9]{16}')""")
+SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '(-?[0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE) AS first FROM documents""")
 def first_number_in_text(spark, folder):
-    docs = table(spark, folder, "documents").where("NOT coalesce(text, '') RLIKE '[0-9]{16}'")
-    return docs.select("doc_id", text.first_number(F.col("text")).alias("first"))
+    return table(spark, folder, "documents").select("doc_id", text.first_number(F.col("text")).alias("first"))
 
 
 @query("""
@@ -568,18 +566,23 @@ def json_props_extract(spark, folder):
     return _events(spark, folder).select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT event_id, true AS strict, false AS trailing FROM events WHERE props IS NOT NULL")
+@query("""
+SELECT event_id, props IS NOT NULL AS plain, false AS trailing, false AS doubled, false AS nan, false AS fenced, false AS array FROM events""")
 def strict_json_validity(spark, folder):
-    return _events(spark, folder).where("props IS NOT NULL").select(
-        "event_id", text.strict_json(F.col("props")).alias("strict"), text.strict_json(F.concat("props", F.lit(" {}"))).alias("trailing")
-    )
+    p = F.col("props")
+    made = {"plain": p, "trailing": F.concat(p, F.lit(" {}")), "doubled": F.regexp_replace(p, r"^\{", '{"k": 1, '), "nan": F.regexp_replace(p, r"\d+", "NaN"), "fenced": F.concat(F.lit("```json\n"), p, F.lit("\n```")), "array": F.concat(F.lit("["), p, F.lit("]"))}
+    return _events(spark, folder).select("event_id", *[text.strict_json(c).alias(name) for name, c in made.items()])
 
 
 @query("""
-SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN '$.k' ELSE '$.kind' END AS errors FROM events WHERE props IS NOT NULL""")
+SELECT event_id, CASE WHEN props IS NULL THEN '$' ELSE array_to_string(list_sort(list_filter([CASE WHEN k < 10 THEN '$.k' END, CASE WHEN event_type IN ('error', 'signup') THEN '$.kind' END, CASE WHEN event_id % 3 = 0 THEN '$.tags' END, CASE WHEN event_id % 5 = 0 THEN '$+' END], lambda x: x IS NOT NULL)), ',') END AS errors
+FROM (SELECT event_id, event_type, props, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
 def schema_rule_errors(spark, folder):
-    rules = [validate.Field("k", "number"), validate.Field("kind", values=("a", "b"))]
-    return _events(spark, folder).where("props IS NOT NULL").select("event_id", F.array_join(validate.schema_errors(F.col("props"), rules), ",").alias("errors"))
+    rules = [validate.Field("k", "number"), validate.Field("kind", values=("view", "click", "purchase")), validate.Field("tags", "array", least=1, most=2)]
+    k = F.from_json("props", "k bigint")["k"]
+    # missing numbers, wrong words, doubled items and extra keys by row
+    body = F.concat(F.lit("{"), F.when(k < 10, F.lit('"k": "x"')).otherwise(F.concat(F.lit('"k": '), k.cast("string"))), F.lit(', "kind": "'), F.col("event_type"), F.lit('", "tags": '), F.when(F.col("event_id") % 3 == 0, '["a", "a"]').otherwise('["a", "b"]'), F.when(F.col("event_id") % 5 == 0, ', "more": 1').otherwise(""), F.lit("}"))
+    return _events(spark, folder).select("event_id", F.array_join(validate.schema_errors(F.when(F.col("props").isNotNull(), body), rules), ",").alias("errors"))
 
 
 @query("SELECT rec_id, sha256(concat_ws('|', coalesce(source_system, ''), coalesce(source_file, ''), coalesce(source_record_id, ''))) AS k, left(sha256(source_record_key), 16) AS short FROM fictional_raw_records")
@@ -594,9 +597,12 @@ def uuid5_ids(spark, folder):
     return table(spark, folder, "fictional_raw_records").select("rec_id", ids.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.concat_ws("|", ids.normal_part(F.col("source_system")), "source_record_key")).alias("uid"))
 
 
-@query("SELECT event_id, sha256(replace(props, ' ', '')) AS sha FROM events WHERE props IS NOT NULL")
+@query("""
+SELECT event_id, sha256('{"a":[1,"' || event_type || '"],"k":' || CAST(json_extract_string(props, '$.k') AS BIGINT) || ',"z":{"b":null,"c":"肝"}}') AS sha FROM events WHERE props IS NOT NULL""")
 def canonical_sha(spark, folder):
-    return _events(spark, folder).where("props IS NOT NULL").select("event_id", ids.content_sha(F.col("props")).alias("sha"))
+    k = F.from_json("props", "k bigint")["k"].cast("string")
+    body = F.concat(F.lit('{ "z": {"c": "肝", "b": null}, "k": '), k, F.lit(', "a": [1, "'), F.col("event_type"), F.lit('"] }'))
+    return _events(spark, folder).where("props IS NOT NULL").select("event_id", ids.content_sha(body).alias("sha"))
 
 
 @query("""
@@ -607,10 +613,12 @@ def dataset_inventory(spark, folder):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'o_totalprice' ELSE 'o_orderstatus' END AS differs FROM orders WHERE (o_totalprice > 400000) <> (o_orderstatus = 'P')""")
+SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 400000 THEN 'missing' WHEN o_totalprice > 400000 THEN 'o_totalprice' ELSE 'o_orderstatus' END AS differs FROM orders WHERE o_totalprice > 400000 OR o_orderstatus = 'P'""")
 def frozen_rebuild_differences(spark, folder):
-    a = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").where("(o_totalprice > 400000) <> (o_orderstatus = 'P')")
-    b = a.select("o_orderkey", F.when(F.col("o_totalprice") > 400000, F.lit(-1.0)).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.when((F.col("o_orderstatus") == "P") & ~(F.col("o_totalprice") > 400000), "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    a = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    dear = F.col("o_totalprice") > 400000
+    # the rebuild loses some orders and changes others
+    b = table(spark, folder, "orders").where(~(dear & (F.col("o_orderpriority") == "1-URGENT"))).select("o_orderkey", F.when(dear, F.lit(None).cast("double")).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.when((F.col("o_orderstatus") == "P") & ~dear, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
     return validate.frozen_differences(a, b, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
 
 
