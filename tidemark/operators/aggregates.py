@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ids import normal_part, uuid5
+
 
 def long_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(field, value, n) for each column; nulls are counted as a value of their own."""
@@ -98,3 +100,72 @@ def tally(df: DataFrame, reasons: Sequence[tuple[str, Column]], passed: str = "i
     for name, rule in reasons:
         out = F.when(rule, name) if out is None else out.when(rule, name)
     return df.select(out.otherwise(passed).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def ordered_distinct(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
+    """(key, values): the distinct values of a key in the order in which they first come; nulls are left out.
+
+    The first place of each value is a map-side minimum, so repeats shrink before the shuffle.
+    """
+    firsts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(F.struct(*order)).alias("_first"))
+    return firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_first", value))).alias("_v")).select(key, F.transform("_v", lambda v: v[value]).alias("values"))
+
+
+def distinct_facts(df: DataFrame, keys: Sequence[str], order: str, namespace: str) -> DataFrame:
+    """The first row of each combination of keys, compared trimmed and in lower case, with a ``fact_uid`` made of them; contradicting facts stay side by side."""
+    parts = [normal_part(F.col(k)) for k in keys]
+    named = df.select("*", *[p.alias(f"_n{i}") for i, p in enumerate(parts)])
+    rest = [c for c in df.columns if c != order]
+    first = named.groupBy(*[f"_n{i}" for i in range(len(keys))]).agg(F.min(F.struct(order, *rest)).alias("r"))
+    return first.select(uuid5(namespace, F.concat_ws("|", *[f"_n{i}" for i in range(len(keys))])).alias("fact_uid"), "r.*")
+
+
+def presented_once(df: DataFrame, same: Sequence[Column], ident: str) -> DataFrame:
+    """(ident, refs): records that read alike shown once under their smallest id, with the ids of all of them."""
+    return df.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(same)]).agg(F.min(ident).alias(ident), F.array_sort(F.collect_set(ident)).alias("_refs")).select(ident, F.array_join(F.transform("_refs", lambda r: r.cast("string")), ";").alias("refs"))
+
+
+def top_counts(df: DataFrame, value: str, n: int) -> DataFrame:
+    """(value, n): the commonest values, ties by value."""
+    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), value).limit(n)
+
+
+def any_gates(df: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
+    """For each key whether any row meets each rule; a null result does not."""
+    return df.groupBy(key).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(name) for name, c in rules])
+
+
+def statuses(df: DataFrame, key: str, fields: Sequence[str], absent: Sequence[str] = ("无", "none")) -> DataFrame:
+    """(key, field, status, value) of every key and field: unknown without value, conflict with several, absent where it says so, else present; the smallest value goes with it."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.nullif(F.trim(F.col(f).cast("string")), F.lit("")).alias("value")) for f in fields])).alias("x")
+    grouped = df.select(key, pairs).groupBy(key, "x.field").agg(F.min("x.value").alias("value"), F.max("x.value").alias("_last"))
+    status = F.when(F.col("value").isNull(), "unknown").when(F.col("value") != F.col("_last"), "conflict").when(F.col("value").isin(*absent), "absent").otherwise("present")
+    return grouped.select(key, "field", status.alias("status"), "value")
+
+
+def status_grades(held: DataFrame, key: str, high: Sequence[str], most_unknown: int = 2) -> DataFrame:
+    """(key, score_permille, unknown_high, grade) from statuses: present and absent count whole, a conflict half; A from 750 with few unknowns among the high fields, B from 500, else C."""
+    score = F.when(F.col("status").isin("present", "absent"), 1000).when(F.col("status") == "conflict", 500).otherwise(0)
+    unknown = F.count_if((F.col("status") == "unknown") & F.col("field").isin(*high))
+    out = held.groupBy(key).agg(F.sum(score).alias("_s"), F.count("*").alias("_n"), unknown.alias("unknown_high")).withColumn("score_permille", F.expr("_s div _n"))
+    return out.select(key, "score_permille", "unknown_high", F.when((F.col("score_permille") >= 750) & (F.col("unknown_high") <= most_unknown), "A").when(F.col("score_permille") >= 500, "B").otherwise("C").alias("grade"))
+
+
+def united(df: DataFrame, key: str, flags: str) -> DataFrame:
+    """(key, flags): the union of the flag arrays of a key, sorted. Flags are made distinct before the shuffle."""
+    return df.select(key, F.explode(flags).alias("_f")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("_f")).alias(flags))
+
+
+def level(appropriate: Column, preventable: Column) -> Column:
+    """HIGH, MEDIUM, LOW or NONE from two scores of 0 to 3; null where one is missing or the scores fit none."""
+    none = (preventable == 0) | (appropriate == 0)
+    return F.when(none, "LEVEL_NONE").when((appropriate >= 2) & (preventable == 3), "LEVEL_HIGH").when((appropriate >= 2) & (preventable == 2), "LEVEL_MEDIUM").when((appropriate >= 1) & (preventable == 1), "LEVEL_LOW")
+
+
+def selective_curve(df: DataFrame, score: Column, hit: Column, gates: Sequence[int]) -> DataFrame:
+    """(gate, covered, hits, coverage_permille, rate_permille): what passes each gate and how often it is right, in one pass."""
+    own = F.filter(F.array(*[F.lit(g).cast("bigint") for g in gates]), lambda g: score >= g)
+    rows = df.select(F.explode(F.array_union(own, F.array(F.lit(-1).cast("bigint")))).alias("gate"), F.coalesce(hit, F.lit(False)).alias("_hit"))
+    counts = rows.groupBy("gate").agg(F.count("*").alias("covered"), F.count_if("_hit").alias("hits"))
+    whole = counts.where("gate = -1").select(F.col("covered").alias("_all"))
+    return counts.where("gate <> -1").join(F.broadcast(whole)).select("gate", "covered", "hits", F.expr("covered * 1000 div greatest(_all, 1)").alias("coverage_permille"), F.expr("hits * 1000 div greatest(covered, 1)").alias("rate_permille"))

@@ -123,3 +123,87 @@ def soft_cap(df: DataFrame, group: str, order: Sequence[str], cap: int, n: int)
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     near = df.withColumn("_place", place).where(F.col("_place") <= n).withColumn("over_cap", F.col("_place") > cap)
     return near.drop("_place").orderBy("over_cap", *order).limit(n)
+
+
+def places(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Rows with their ``place`` within the key and whether they are the first."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("place", place.cast("bigint")).withColumn("is_first", F.col("place") == 1)
+
+
+def one_each(df: DataFrame, category: str, categories: Sequence[str], entity: str, order: Sequence[Column], cap: int) -> DataFrame:
+    """Category by category the first ``cap`` rows, no entity more than once over all of them.
+
+    The categories are few and given, so each is one step; what is taken is at
+    most ``cap`` rows a category and is broadcast against the next. The order
+    must be total. Rows without entity are left out.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    ranked = df.where(F.col(entity).isNotNull()).select("*", *[c.alias(k) for c, k in zip(order, keys)])
+    taken: DataFrame | None = None
+    for name in categories:
+        own = ranked.where(F.col(category) == name)
+        if taken is not None:
+            own = own.join(F.broadcast(taken.select(entity)), entity, "left_anti").select(*ranked.columns)
+        first = own.groupBy(entity).agg(F.min(F.struct(*keys, *[c for c in df.columns if c != entity])).alias("r")).select(entity, "r.*")
+        best = cut(first.orderBy(*keys).limit(cap).select(*df.columns))
+        taken = best if taken is None else taken.unionByName(best)
+    return taken if taken is not None else df.where("false")
+
+
+def covered(selected: DataFrame, pool: DataFrame, ident: str, group: str, tags: str, wanted: Sequence[str], seed: str) -> DataFrame:
+    """A selection repaired so that every wanted tag stands in it, if the pool has one.
+
+    For each missing tag the first row of the pool in hash order comes in, for
+    the last one in hash order of the same group (of any group where none is
+    left) that lacks the tag. The selection is as small as a sample and one row
+    a tag comes to the driver.
+    """
+    for tag in wanted:
+        has = F.array_contains(tags, tag)
+        if selected.where(has).limit(1).count():
+            continue
+        fresh = pool.where(has).join(selected.select(ident), ident, "left_anti").select(*pool.columns)
+        found = fresh.orderBy(hash_order(seed + tag, ident), ident).limit(1)
+        if not (row := found.first()):
+            continue
+        same = F.col(group).eqNullSafe(F.lit(row[group]))
+        old = selected.where(~F.coalesce(has, F.lit(False))).orderBy(same.desc(), hash_order(seed + "replace", ident).desc(), F.col(ident).desc()).first()
+        if old is None:
+            continue
+        selected = cut(selected.where(F.col(ident) != old[ident]).unionByName(found))
+    return selected
+
+
+def allocate_to_targets(df: DataFrame, group: str, targets: dict[str, int], n: int) -> DataFrame:
+    """(group, available, places): ``n`` places shared in proportion to the groups' targets, halves to the even number, no more than available; what is left goes one by one to the group that lacks most of its target, the first in order on a tie."""
+    total = sum(targets.values())
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(g, t, i) for i, (g, t) in enumerate(targets.items())], f"`{group}` string, _target bigint, _order int")
+    sizes = df.where(F.col(group).isin(*targets)).groupBy(group).agg(F.count("*").alias("available"))
+    base = wanted.join(sizes, group, "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    base = base.withColumn("_base", F.least("available", F.bround(F.col("_target") * n / F.lit(float(total)))).cast("bigint"))
+    base = base.withColumn("_left", F.greatest(F.lit(n) - F.sum("_base").over(Window.partitionBy()), F.lit(0)))
+    steps = base.where("_left > 0 AND available > _base").select(group, "_order", "_left", "_target", "_base", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("_left"), F.col("available") - F.col("_base")))).alias("_k"))
+    chosen = steps.withColumn("_rank", F.row_number().over(Window.orderBy((F.col("_target") - F.col("_base") - F.col("_k")).desc(), "_order", "_k"))).where("_rank <= _left")
+    more = chosen.groupBy(group).agg(F.count("*").alias("_more"))
+    return base.join(more, group, "left").select(group, "available", (F.col("_base") + F.coalesce("_more", F.lit(0))).alias("places"))
+
+
+def rank_bands(df: DataFrame, ident: str, seed: str, bands: Sequence[tuple[str, int]]) -> DataFrame:
+    """Bands of exact sizes in hash order; rows behind the last band have none. Only the rows of the bands are ordered in one place."""
+    total = sum(size for _, size in bands)
+    first = df.orderBy(hash_order(seed, ident), ident).limit(total)
+    place = F.row_number().over(Window.orderBy(hash_order(seed, ident), ident))
+    band, upper = None, 0
+    for name, size in bands:
+        upper += size
+        band = F.when(F.col("_place") <= upper, name) if band is None else band.when(F.col("_place") <= upper, name)
+    return first.withColumn("_place", place).withColumn("band", band).drop("_place")
+
+
+def best_overlap(df: DataFrame, key: str, ident: str, flags: str, wanted: Sequence[str], n: int) -> DataFrame:
+    """(key, best): the ids of the ``n`` rows of each key whose flags share most with the wanted ones, more first, then the smaller id; rows that share nothing are left out."""
+    shared = F.size(F.array_intersect(flags, F.array(*map(F.lit, wanted))))
+    rows = last_n(df.withColumn("_shared", shared).where("_shared > 0").withColumn("_minus", -F.col(ident)), key, ["_shared", "_minus"], n)
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", ident))).alias("_b")).select(key, F.array_join(F.transform("_b", lambda r: r[ident].cast("string")), ",").alias("best"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evidence, reference
+from tidemark.plans import evidence, reference, relations
 
-__all__ = ["QUERIES", "SQL", "evidence"]
+__all__ = ["QUERIES", "SQL", "evidence", "relations"]
 QUERIES, SQL = reference.QUERIES, reference.SQL

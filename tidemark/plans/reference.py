@@ -664,8 +664,8 @@ def turn_replay(spark, folder):
 
 
 @query("""
-WITH f AS (SELECT user_id, min(ts) AS first FROM events GROUP BY 1), n AS (SELECT e.user_id, epoch_us(first) AS first_us, count(*) FILTER (e.ts <= first + INTERVAL 1 DAY) AS inside, count(*) AS n FROM events e JOIN f USING (user_id) GROUP BY 1, 2)
-SELECT CAST(user_id AS VARCHAR) AS entity, first_us, CAST(least(inside, 3) AS INTEGER) AS steps, CASE WHEN inside >= 3 THEN 'depth_limit_reached' WHEN n > inside THEN 'expired' ELSE 'waiting' END AS status FROM n""")
+WITH f AS (SELECT user_id, min(ts) AS first FROM events GROUP BY 1), w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), n AS (SELECT e.user_id, first, epoch_us(first) AS first_us, count(*) FILTER (e.ts <= first + INTERVAL 1 DAY) AS inside, count(*) AS n FROM events e JOIN f USING (user_id) GROUP BY 1, 2, 3)
+SELECT CAST(user_id AS VARCHAR) AS entity, first_us, CAST(least(inside, 3) AS INTEGER) AS steps, CASE WHEN inside >= 3 THEN 'depth_limit_reached' WHEN n > inside OR first + INTERVAL 1 DAY < mark THEN 'expired' ELSE 'waiting' END AS status FROM n, w""")
 def stream_episodes(spark, folder):
     """Episodes over the events as a stream, each batch appended to a table in the shared folder; the last news of each entity."""
     events = stream(spark, folder, "events")
@@ -676,11 +676,35 @@ def stream_episodes(spark, folder):
     return joins.last_wins(spark.read.parquet(f"{base}/news"), "entity", ["batch"]).drop("batch")
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM events)")
+@query("SELECT DISTINCT event_id FROM events")
 def stream_distinct_events(spark, folder):
     """Every event once, although the stream delivers each twice."""
     events = stream(spark, folder, "events").withColumn("available", F.col("ts").cast("timestamp"))
     base = shared_folder(spark, "distinct")
     once = streams.distinct_events(events.unionByName(events), "event_id", "available", "40 days")
     once.select("event_id").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("""
+SELECT event_id, CASE WHEN coalesce(ts <= TIMESTAMP '2024-01-20', false) THEN NULL ELSE 'not_available_by_checkpoint' END AS reason FROM events""")
+def stream_late_audit(spark, folder):
+    """Rows of a stream that came in time, and the late ones in an output of their own."""
+    events = stream(spark, folder, "events").withColumn("due", F.lit("2024-01-20").cast("timestamp_ntz"))
+    base = shared_folder(spark, "late")
+    in_time, late = streams.split_late(events, "ts", "due")
+    parts = (in_time.select("event_id", F.lit(None).cast("string").alias("reason")), late.select("event_id", "reason"))
+    for i, part in enumerate(parts):
+        part.writeStream.format("parquet").option("path", f"{base}/out{i}").option("checkpointLocation", f"{base}/state{i}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id bigint, reason string").parquet(f"{base}/out0").unionByName(spark.read.schema("event_id bigint, reason string").parquet(f"{base}/out1"))
+
+
+@query("""
+SELECT epoch_us(date_trunc('day', ts)) AS day_us, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""")
+def stream_windows(spark, folder):
+    """Counts by day and kind of a stream, each day once the watermark has closed it."""
+    events = stream(spark, folder, "events").withColumn("available", F.col("ts").cast("timestamp"))
+    base = shared_folder(spark, "windows")
+    counts = streams.windowed(events, "available", "event_type").select("window", "event_type", "n")
+    counts.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.unix_micros("window.start").alias("day_us"), "event_type", "n")

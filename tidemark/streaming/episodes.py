@@ -34,16 +34,24 @@ def windowed(events: DataFrame, available: str, key: str, width: str = "1 day",
     return events.withWatermark(available, delay).groupBy(F.window(available, width), key).agg(F.count("*").alias("n"))
 
 
-def episodes(events: DataFrame, entity: str, at: str, most_steps: int = 3, horizon_us: int = 30 * 86_400_000_000) -> DataFrame:
+def episodes(events: DataFrame, entity: str, at: str, most_steps: int = 3, horizon_us: int = 30 * 86_400_000_000, delay: str = "1 day") -> DataFrame:
     """Episodes of an entity: opened by its first event, one step an event, closed at ``most_steps`` or beyond the horizon.
 
     Gives a row (entity, first_us, steps, status) per entity and batch that has
     news; status is waiting, depth_limit_reached or expired. Events of a closed
-    episode are ignored.
+    episode are ignored. Once the watermark, ``delay`` behind the latest event, has
+    passed an episode's horizon, an open one expires and its state is dropped; an
+    entity that comes again later begins a new episode.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, steps, closed = state.get if state.exists else (None, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not closed:
+                yield pd.DataFrame({"entity": [key[0]], "first_us": [first], "steps": [steps], "status": ["expired"]})
+            return
+        fresh = not closed
         times = sorted(int(t) for batch in batches for t in batch["us"].dropna())
         status = "waiting"
         for t in times:
@@ -58,10 +66,11 @@ def episodes(events: DataFrame, entity: str, at: str, most_steps: int = 3, horiz
                 closed, status = True, "depth_limit_reached"
         if first is None:
             return
-        fresh = not (state.exists and state.get[2])
         state.update((first, steps, closed))
+        state.setTimeoutTimestamp(max((first + horizon_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if fresh:
             yield pd.DataFrame({"entity": [key[0]], "first_us": [first], "steps": [steps], "status": [status]})
 
-    rows = events.select(F.col(entity).cast("string").alias("entity"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
-    return rows.groupBy("entity").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    moment = F.col(at).cast("timestamp")
+    rows = events.select(F.col(entity).cast("string").alias("entity"), moment.alias("moment"), F.unix_micros(moment).alias("us")).withWatermark("moment", delay)
+    return rows.groupBy("entity").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
