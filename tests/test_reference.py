@@ -8,7 +8,7 @@ import uuid
 import duckdb
 import pytest
 
-from tidemark.plans.reference import QUERIES, SQL
+from tidemark.plans.catalogue import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")

@@ -64,3 +64,13 @@ def report_text(*parts: Column, fallback: Column, mark: str = "。") -> Column:
 def episode_key(admission: Column, visit: Column) -> Column:
     """What makes notes ones of the same stay: time of admission and visit id, null parts alike."""
     return F.concat_ws("|", F.coalesce(admission, F.lit("")), F.coalesce(visit.cast("string"), F.lit("")))
+
+
+def at_path(json: Column, path: str, kind: str) -> Column:
+    """The value at a dotted path of a JSON text (``a.b[0].c``); null where the path or the kind does not fit."""
+    return F.try_variant_get(F.try_parse_json(json), f"$.{path}", kind)
+
+
+def value_vector(parts: dict[str, Column]) -> Column:
+    """Several values as one struct; they are kept apart, whatever is missing."""
+    return F.struct(*[c.alias(name) for name, c in parts.items()])

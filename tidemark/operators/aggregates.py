@@ -169,3 +169,15 @@ def selective_curve(df: DataFrame, score: Column, hit: Column, gates: Sequence[i
     counts = rows.groupBy("gate").agg(F.count("*").alias("covered"), F.count_if("_hit").alias("hits"))
     whole = counts.where("gate = -1").select(F.col("covered").alias("_all"))
     return counts.where("gate <> -1").join(F.broadcast(whole)).select("gate", "covered", "hits", F.expr("covered * 1000 div greatest(_all, 1)").alias("coverage_permille"), F.expr("hits * 1000 div greatest(covered, 1)").alias("rate_permille"))
+
+
+def tier(rules: Sequence[tuple[str, Column]], other: str) -> Column:
+    """The name of the first rule that holds; a null result does not."""
+    return F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules], F.lit(other))
+
+
+def source_map(df: DataFrame, ident: str, keys: Sequence[str], source: str) -> DataFrame:
+    """(keys, kept, source_count, source_map): equal reports once, with where each of their rows is from."""
+    named = F.struct(ident, F.concat(F.col(ident).cast("string"), F.lit("="), F.coalesce(source, F.lit(""))).alias("_s"))
+    rows = df.groupBy(*keys).agg(F.min(ident).alias("kept"), F.count("*").alias("source_count"), F.array_sort(F.collect_list(named)).alias("_m"))
+    return rows.select(*keys, "kept", "source_count", F.array_join(F.transform("_m", lambda r: r["_s"]), ";").alias("source_map"))

@@ -120,7 +120,7 @@ def common_units(df: DataFrame, items: DataFrame, id_col: str, name_col: str, re
     unit, ``changed`` whether conversion changed the number. Rows whose name
     stands for no item, whose result is no number or whose unit is missing,
     unknown or of another dimension have no row here. Repeated rows are kept.
-    The results as read are kept in memory and on disk until ``session.release``.
+    The results are read here and kept in memory and on disk until ``session.release``.
     """
     spark = df.sparkSession
     units = spark.createDataFrame(unit_table(), "form string, dimension string, factor double")
@@ -135,7 +135,7 @@ def common_units(df: DataFrame, items: DataFrame, id_col: str, name_col: str, re
     item_map = alias_dictionary(names.select("spelling", F.explode(item_forms(F.col("spelling"))).alias("form")), reference).select(F.col("spelling").alias("name"), F.col("key").alias("item_code"))
     # Of the pairs of what stands in the result and in the unit field there are few; each gets its unit once.
     pair = F.concat_ws("\u0001", F.coalesce("inline", F.lit("")), F.coalesce("own", F.lit(""))).alias("pair")
-    rows = keep(rows.where("number IS NOT NULL AND name IS NOT NULL").select("id", "name", "number", pair))
+    rows = keep(rows.where("number IS NOT NULL AND name IS NOT NULL").select("id", "name", "number", pair), now=True)
     pairs = rows.select("pair").distinct().select("pair", F.posexplode(F.split("pair", "\u0001")).alias("place", "spelling")).where("spelling <> ''")
     written = pairs.select("spelling").distinct()
     unit_map = alias_dictionary(written.withColumn("form", folded_unit(F.col("spelling"))), units.select(F.concat_ws("|", "dimension", "factor").alias("key"), "form"), slips=UNITS)

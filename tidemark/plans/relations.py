@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import nodes
 from tidemark.operators import aggregates, joins, replay, validate, windows
 from tidemark.plans.reference import _events, _us, query
-from tidemark.sources import readers
+from tidemark.session import shared_folder
+from tidemark.sources import readers, sinks
 from tidemark.sources.tables import table
 
 # ---- joins
@@ -408,3 +409,65 @@ def terminology_inventory(spark, folder):
 @query("SELECT patient_uid, epoch_us(min(t)) AS first_us FROM (SELECT patient_uid, TRY_CAST(clinical_time AS TIMESTAMP) AS t FROM fictional_raw_records) WHERE t IS NOT NULL GROUP BY 1")
 def dated_rows_only(spark, folder):
     return table(spark, folder, "fictional_raw_records").select("patient_uid", F.expr("try_cast(clinical_time AS TIMESTAMP_NTZ)").alias("t")).where("t IS NOT NULL").groupBy("patient_uid").agg(F.min("t").alias("t")).select("patient_uid", _us("t").alias("first_us"))
+
+
+@query("SELECT rec_id, clinical_time FROM fictional_raw_records WHERE contains(text, '增强') AND patient_uid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY patient_uid ORDER BY clinical_time DESC NULLS LAST, rec_id DESC) <= 5")
+def newest_topic_reports(spark, folder):
+    hits = table(spark, folder, "fictional_raw_records").where("contains(text, '增强') AND patient_uid IS NOT NULL").select("patient_uid", "rec_id", "clinical_time")
+    return windows.last_n(hits, "patient_uid", ["clinical_time", "rec_id"], 5).select("rec_id", "clinical_time")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_acctbal > 8000 AND c_mktsegment = 'BUILDING' THEN 'first' WHEN c_acctbal > 5000 THEN 'second' WHEN c_acctbal > 0 THEN 'third' ELSE 'none' END AS tier FROM customer""")
+def screening_tiers(spark, folder):
+    tier = aggregates.tier([("first", (F.col("c_acctbal") > 8000) & (F.col("c_mktsegment") == "BUILDING")), ("second", F.col("c_acctbal") > 5000), ("third", F.col("c_acctbal") > 0)], "none")
+    return table(spark, folder, "customer").select("c_custkey", tier.alias("tier"))
+
+
+@query("""
+WITH p AS (SELECT event_id, unnest([struct_pack(n := 'always', d := 'GO'), struct_pack(n := 'never', d := 'WAIT'), struct_pack(n := 'value', d := CASE WHEN value > 50 THEN 'GO' ELSE 'WAIT' END)]) AS x, CASE WHEN event_type = 'error' THEN 'WAIT' ELSE 'GO' END AS truth FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL)
+SELECT x.n AS policy, count(*) AS n, count(*) FILTER (x.d = truth) AS agreed FROM p GROUP BY 1""")
+def comparator_policies(spark, folder):
+    """Static policies on identical input, in one pass."""
+    rows = _events(spark, folder).where("value IS NOT NULL AND event_type IS NOT NULL").withColumn("truth", F.when(F.col("event_type") == "error", "WAIT").otherwise("GO"))
+    return replay.compared(rows, {"always": F.lit("GO"), "never": F.lit("WAIT"), "value": F.when(F.col("value") > 50, "GO").otherwise("WAIT")}, F.col("truth"))
+
+
+@query("""
+SELECT patient_uid, min(rec_id) AS kept, count(*) AS source_count, string_agg(rec_id || '=' || coalesce(source_system, ''), ';' ORDER BY rec_id) AS source_map FROM fictional_raw_records WHERE text IS NOT NULL GROUP BY patient_uid, event_type, sha256(text)""")
+def report_source_map(spark, folder):
+    rows = table(spark, folder, "fictional_raw_records").where("text IS NOT NULL").withColumn("digest", F.sha2("text", 256))
+    return aggregates.source_map(rows, "rec_id", ["patient_uid", "event_type", "digest"], "source_system").select("patient_uid", "kept", "source_count", "source_map")
+
+
+@query("""
+SELECT patient_uid, count(*) AS n, count(DISTINCT rec_id) AS distinct_n FROM fictional_raw_records WHERE patient_uid IN (SELECT patient_uid FROM checkpoints WHERE stage = 2) GROUP BY 1""")
+def cohort_export(spark, folder):
+    """A cohort's records written raw, split by kind, and read again."""
+    cohort = table(spark, folder, "checkpoints").where("stage = 2")
+    base = shared_folder(spark, "cohort")
+    sinks.parquet(readers.only_ids(table(spark, folder, "fictional_raw_records"), "patient_uid", cohort), base, by=["source_type"])
+    return readers.parquet(spark, base).groupBy("patient_uid").agg(F.count("*").alias("n"), F.countDistinct("rec_id").alias("distinct_n"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS deep, event_type || '/' || coalesce(CAST(user_id AS VARCHAR), '') AS joined FROM events WHERE props IS NOT NULL")
+def dotted_path(spark, folder):
+    nested = F.concat(F.lit('{"a":{"b":[{"c":'), F.col("props"), F.lit("}]}}"))
+    events = _events(spark, folder).where("props IS NOT NULL")
+    return events.select("event_id", nodes.at_path(nested, "a.b[0].c.k", "bigint").alias("deep"), F.concat_ws("/", "event_type", F.coalesce(F.col("user_id").cast("string"), F.lit(""))).alias("joined"))
+
+
+@query("""
+WITH r AS (SELECT patient_uid, min(rec_id) AS rec_id, report_type FROM fictional_raw_records WHERE patient_uid IS NOT NULL AND report_type IS NOT NULL GROUP BY patient_uid, report_type QUALIFY row_number() OVER (PARTITION BY patient_uid ORDER BY min(rec_id)) = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY report_type ORDER BY rec_id) > 4 AS over_cap FROM r) SELECT rec_id, over_cap FROM p ORDER BY over_cap, rec_id LIMIT 60""")
+def soft_cap_one_each(spark, folder):
+    rows = table(spark, folder, "fictional_raw_records").where("patient_uid IS NOT NULL AND report_type IS NOT NULL").select("patient_uid", "rec_id", "report_type")
+    return windows.soft_cap(windows.first_rows(rows, "patient_uid", ["rec_id"]), "report_type", ["rec_id"], 4, 60).select("rec_id", "over_cap")
+
+
+@query("""
+SELECT event_id, value > 50 AS j, event_type = 'error' AS m, user_id % 4 AS i, NULL::BIGINT AS b FROM events""")
+def action_value_vector(spark, folder):
+    """The values of an action side by side, never summed."""
+    vector = nodes.value_vector({"j": F.col("value") > 50, "m": F.col("event_type") == "error", "i": F.col("user_id") % 4, "b": F.lit(None).cast("bigint")})
+    return _events(spark, folder).select("event_id", vector.alias("v")).select("event_id", "v.*")

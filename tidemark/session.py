@@ -63,9 +63,14 @@ def cut(df: DataFrame) -> DataFrame:
 _kept: list[DataFrame] = []
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Keep what several branches of one plan read, in memory and on disk; lost parts are computed again. :func:`release` lets go of it."""
+def keep(df: DataFrame, now: bool = False) -> DataFrame:
+    """Keep what several branches of one plan read, in memory and on disk; lost parts are computed again. :func:`release` lets go of it.
+
+    With ``now`` it is worked out at once: branches that start together would else each begin with it.
+    """
     _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    if now:
+        df.count()
     return df
 
 
