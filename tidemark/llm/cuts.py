@@ -46,6 +46,7 @@ _MASK = re.compile(r"\d+|[a-zà-ÿ]+|[A-ZÀ-Þ]|[一-鿿]")
 _TOKEN = re.compile(r"\d+(?:\.\d+)?|[一-鿿]+|[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'\-]*|\s+|.")
 _ENTRY = re.compile(r"\s*[^：:\n]{1,24}[：:]\s*(?=[-<>]?\d)")
 _DECIMAL = re.compile(r"\d+\.\d+")
+_NUMBERED = re.compile(r"(\S+)\s?\d+\.$")
 _CLAUSE = re.compile(r"[，,；;：:。.！？!?\n]")
 
 
@@ -131,6 +132,10 @@ def features(text: str, tail: Tail, limits: frozenset[int], with_limit: bool = T
         f"entry={bool(entry)}&seen={entry in entries}", f"entry={entry}&seen={entry in entries}", f"entries={bool(entries)}&entry={bool(entry)}&m1={masked[-1:]}",
     ]
     names.extend(f"{s}&prior={prior}" for s in shapes(tail.line))
+    if ell:
+        names.append(f"ell&c6={body[-6:].lower()}")
+    if m := _NUMBERED.search(body[-40:]):
+        names.append(f"before={m[1].lower()}&limit={limit}")
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names]
 
 
