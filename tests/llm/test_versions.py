@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from tidemark.llm import versions
 from tidemark.llm.versions import close_versions, expand
 
 
@@ -53,3 +56,41 @@ def test_least_resemblance(spark):
 def test_empty(spark):
     members, pairs = close_versions(spark.createDataFrame([], "note bigint, body string"), "note", "body")
     assert members.count() == 0 and expand(members, pairs).count() == 0
+
+
+def test_chance_pairs_are_not_written(spark):
+    # two fifths of every text are the same, so that most pairs of texts share a block and none is close
+    draw = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    common = "".join(draw.choices(letters, k=120))
+    rows = [(i, common + "".join(draw.choices(letters, k=180))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "note bigint, body string").repartition(4).localCheckpoint()
+    stages, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = stages.stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(found.apply, range(found.size()))}
+
+    before = written()
+    members, pairs = close_versions(df, "note", "body")
+    assert expand(members, pairs).count() == 0
+    assert sum(n for k, n in written().items() if k not in before) < 1000 * len(rows)
+
+
+def test_near_pairs_of_two_chunks_and_of_one(monkeypatch):
+    draw = random.Random(3)
+    base = ["".join(draw.choices("天地玄黄abcdefg", k=80)) for _ in range(30)]
+    texts = [x for t in base for x in (t, t[:70] + "z" * 10)] + ["boilerplate " * 9 + c for c in "abcdefghij"]
+    symbols = versions.fingerprints(texts, 4)
+    keys, marks, most = np.ascontiguousarray(versions.block_keys(symbols).T), versions.marks(symbols).view(np.uint64), versions.largest_distance(0.7)
+    same = (keys[:, :, None] == keys[:, None, :]).any(axis=0)
+    apart = np.array([[sum(int(x).bit_count() for x in (u ^ v)[: versions.WORDS] | (u ^ v)[versions.WORDS :]) for v in marks] for u in marks])
+    want = {(int(x), int(y)) for x, y in zip(*np.nonzero(same & (apart <= most)))}
+    for at_once in (7, 1 << 18):
+        monkeypatch.setattr(versions, "PAIRS_AT_ONCE", at_once)
+        x, y = versions.near_in((keys, marks), None, range(versions.BLOCKS), most)
+        assert sorted(zip(x.tolist(), y.tolist())) == sorted((p, q) for p, q in want if p < q)
+        cut = 37
+        x, y = versions.near_in((np.ascontiguousarray(keys[:, :cut]), marks[:cut]), (np.ascontiguousarray(keys[:, cut:]), marks[cut:]), range(versions.BLOCKS), most)
+        assert sorted(zip(x.tolist(), (y + cut).tolist())) == sorted((p, q) for p, q in want if p < cut <= q)

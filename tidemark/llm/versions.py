@@ -7,34 +7,41 @@ another, drawn by a fixed table). A block holds one symbol of each pass. Two
 texts of resemblance J agree in a share J of the symbols, so the Hamming distance
 of fingerprints, taken on one bit of each symbol, estimates J, and the blocks are
 so many that a pair of the least resemblance the share allows agrees in a whole
-block with near certainty. Pairs are found by an equality join on blocks,
-verified by the Hamming distance of their fingerprints, and then checked exactly
-on their pieces.
+block with near certainty. Pairs are found by equal blocks, verified by the
+Hamming distance of their fingerprints, and then checked exactly on their pieces.
 
-Identical texts are one class with one representative before any join, so a
-group of copies costs one text whatever its size. Fingerprints move in the
-shuffles; texts move only for pairs within the Hamming distance.
+Pairs that share a block by chance grow with the square of the texts, so they are
+never written: fingerprints are laid down once in chunks, every two chunks meet in
+a task that reads them where they lie, and only pairs within the Hamming distance
+leave it. What is written grows with the texts and with the near pairs.
+
+Identical texts are one class with one representative before that, so a group of
+copies costs one text whatever its size. A fingerprint moves once; texts move only
+for pairs within the Hamming distance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, keep
+from tidemark.session import cut
 
 #: Blocks, and symbols of a block. At the least resemblance of a share of 0.7 (7/13) a pair misses all blocks with probability 9e-4.
 BLOCKS, PER_BLOCK = 80, 4
 SYMBOLS = BLOCKS * PER_BLOCK
 #: Words of the fingerprint for each of the two bits of a symbol that are compared.
 WORDS = SYMBOLS // 64
-#: Fingerprints up to which they are broadcast for the Hamming distance; beyond, they are joined by a shuffle. 90 bytes each, 45 MB in all.
-MOST_BROADCAST = 500_000
+#: Fingerprints of a chunk, 408 bytes each; a task holds two chunks. Chunks at least, so that their pairs are tasks enough for a small table.
+CHUNK, LEAST_CHUNKS = 1 << 17, 4
+#: Pairs that share a block whose Hamming distances are taken at once, which bounds the memory of a task.
+PAIRS_AT_ONCE = 1 << 18
 #: Pairs up to which they are sent to the texts, and not the texts to them: two ids each, 16 MB in all.
 MOST_SENT = 1 << 20
 #: Characters fingerprinted at once, which bounds the memory of a task; a longer text is taken alone.
@@ -114,6 +121,55 @@ def marks(symbols: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.int64)
 
 
+def _sorted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and the texts that they are from."""
+    both = np.sort((keys.view(np.uint32).astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64))
+    return (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each index of ``size`` with each position of its run from ``first``, ``PAIRS_AT_ONCE`` at a time, a longer run in pieces."""
+    ends = np.cumsum(size)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
+        at = np.arange(start, min(start + PAIRS_AT_ONCE, int(ends[-1])))
+        own = np.searchsorted(ends, at, "right")
+        yield own, first[own] + at - (ends[own] - size[own])
+
+
+def near_in(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, blocks: Iterable[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of texts in two chunks that agree in one of ``blocks`` and differ in ``most`` symbols at the most, each pair once.
+
+    A chunk is its block keys, (BLOCKS, texts), and its marks, (texts, 2 * WORDS). Without ``right``, the pairs within ``left``.
+    """
+    (keys_a, marks_a), (keys_b, marks_b) = left, right or left
+    found, loose = np.empty(0, dtype=np.int64), []
+    for block in blocks:
+        key_a, text_a = _sorted_keys(keys_a[block])
+        if right is None:
+            key_b, text_b = key_a, text_a
+            first = np.arange(1, len(key_a) + 1)
+            size = np.searchsorted(key_a, key_a, "right") - first
+        else:
+            key_b, text_b = _sorted_keys(keys_b[block])
+            first = np.searchsorted(key_a, key_b)
+            there = np.nonzero(key_a[np.minimum(first, len(key_a) - 1)] == key_b)[0] if len(key_a) else np.empty(0, dtype=np.int64)
+            text_b, first = text_b[there], first[there]
+            size = np.searchsorted(key_a, key_b[there], "right") - first
+        for own, place in _runs(first, size):
+            x, y = text_a[place], text_b[own]
+            other = marks_a[x] ^ marks_b[y]
+            differing = np.bitwise_count(other[:, :WORDS] | other[:, WORDS:]).sum(axis=1, dtype=np.int64)
+            near = differing <= most
+            x, y = x[near], y[near]
+            if right is None:
+                x, y = np.minimum(x, y), np.maximum(x, y)
+            loose.append(x * len(marks_b) + y)
+            if sum(map(len, loose)) > max(PAIRS_AT_ONCE, len(found)):
+                found, loose = np.unique(np.concatenate([found, *loose])), []
+    found = np.unique(np.concatenate([found, *loose]))
+    return found // max(1, len(marks_b)), found % max(1, len(marks_b))
+
+
 def largest_distance(share: float) -> int:
     """The differing symbols up to which a pair is looked at: four standard deviations beyond those of the least resemblance.
 
@@ -145,9 +201,9 @@ def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7
     ``pairs`` (class_a, class_b) has each close pair of classes once, the smaller
     first. Null and shorter texts are left out; ids are taken as unique.
 
-    Fingerprints, and the pairs within the Hamming distance, are counted here, so
-    that they are broadcast only up to ``MOST_BROADCAST`` and ``MOST_SENT``. The
-    fingerprints are kept until ``session.release``, the pairs checkpointed.
+    The fingerprints are checkpointed here in chunks of about ``CHUNK``, and so are
+    the pairs within the Hamming distance, which are counted, so that they are
+    broadcast only up to ``MOST_SENT``.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") >= max(least_chars, size))
     keyed = docs.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
@@ -181,16 +237,34 @@ def close_versions(df: DataFrame, id_col: str, text_col: str, share: float = 0.7
     classes = keyed.groupBy("digest").agg(F.min("id").alias("class_id"))
     members = keyed.select("id", "digest").join(classes, "digest").select("id", "class_id")
     # one fingerprint of each text; copies are dropped before the shuffle
-    sketches = keep(keyed.mapInArrow(sketch, schema).groupBy("digest").agg(F.min("id").alias("id"), F.min("keys").alias("keys"), *[F.min(w).alias(w) for w in words]))
-    blocks = sketches.select("id", F.explode("keys").alias("key"))
-    a, b = blocks.select(F.col("id").alias("a"), "key"), blocks.select(F.col("id").alias("b"), "key")
-    candidates = a.join(b, "key").where("a < b").select("a", "b").distinct()
-    left, right = (sketches.select(F.col("id").alias(side), *[F.col(w).alias(side + w) for w in words]) for side in "ab")
-    if sketches.count() <= MOST_BROADCAST:
-        left, right = F.broadcast(left), F.broadcast(right)
-    other = lambda w: F.col("a" + w).bitwiseXOR(F.col("b" + w))
-    differing = sum((F.bit_count(other(f"w{k}").bitwiseOR(other(f"v{k}"))) for k in range(WORDS)), F.lit(0))
-    near = cut(candidates.join(left, "a").join(right, "b").where(differing <= largest_distance(share)).select("a", "b"))
+    sketches = keyed.mapInArrow(sketch, schema).groupBy("digest").agg(F.min("id").alias("id"), F.min("keys").alias("keys"), *[F.min(w).alias(w) for w in words]).drop("digest")
+    distinct = docs.agg(F.approx_count_distinct(F.xxhash64("text"))).head()[0]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(batches, pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int32())), *[(w, pa.int64()) for w in words]])) if (first := next(batches, None)) is None else pa.Table.from_batches([first, *batches])
+        n = len(own)
+        if n:
+            keys = np.concatenate([c.flatten().to_numpy() for c in own.column("keys").chunks]).reshape(n, BLOCKS)
+            bits = np.stack([own.column(w).to_numpy() for w in words], axis=1)
+            whole = [own.column("id").to_numpy(), np.ascontiguousarray(keys.T), bits]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in whole]], names=["chunk", "ids", "keys", "bits"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                read = lambda c, kind: np.frombuffer(batch.column(c)[row].as_buffer(), dtype=kind)  # noqa: B023, E731
+                i, j = batch.column("chunk_a")[row].as_py(), batch.column("chunk_b")[row].as_py()
+                ids_a, ids_b = read("ids_a", np.int64), read("ids_b", np.int64)
+                left, right = ((read("keys_" + side, np.int32).reshape(BLOCKS, -1), read("bits_" + side, np.uint64).reshape(-1, len(words))) for side in "ab")
+                # two chunks meet twice, the one way for the even blocks and the other for the odd
+                x, y = near_in(left, None, range(BLOCKS), most) if i == j else near_in(left, right, range(int(i > j), BLOCKS, 2), most)
+                x, y = ids_a[x], ids_b[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    most = largest_distance(share)
+    chunks = cut(sketches.coalesce(max(LEAST_CHUNKS, -(-distinct // CHUNK))).mapInArrow(gather, "chunk int, ids binary, keys binary, bits binary"))
+    one, two = (chunks.select(*[F.col(c).alias(f"{c}_{side}") for c in chunks.columns]) for side in "ab")
+    near = cut(one.hint("shuffle_replicate_nl").crossJoin(two).mapInArrow(meet, "a bigint, b bigint").distinct())
     sent = near.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     if near.count() <= MOST_SENT:
         sent = F.broadcast(sent)
