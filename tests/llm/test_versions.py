@@ -87,10 +87,11 @@ def test_near_pairs_of_two_chunks_and_of_one(monkeypatch):
     same = (keys[:, :, None] == keys[:, None, :]).any(axis=0)
     apart = np.array([[sum(int(x).bit_count() for x in (u ^ v)[: versions.WORDS] | (u ^ v)[versions.WORDS :]) for v in marks] for u in marks])
     want = {(int(x), int(y)) for x, y in zip(*np.nonzero(same & (apart <= most)))}
-    for at_once in (7, 1 << 18):
+    for at_once in (7, 1 << 12):
         monkeypatch.setattr(versions, "PAIRS_AT_ONCE", at_once)
+        monkeypatch.setattr(versions, "NEAR_AT_ONCE", at_once)
         x, y = versions.near_in((keys, marks), None, range(versions.BLOCKS), most)
         assert sorted(zip(x.tolist(), y.tolist())) == sorted((p, q) for p, q in want if p < q)
         cut = 37
-        x, y = versions.near_in((np.ascontiguousarray(keys[:, :cut]), marks[:cut]), (np.ascontiguousarray(keys[:, cut:]), marks[cut:]), range(versions.BLOCKS), most)
+        x, y = versions.near_in((keys[:, :cut], marks[:cut]), (keys[:, cut:], marks[cut:]), range(versions.BLOCKS), most)
         assert sorted(zip(x.tolist(), (y + cut).tolist())) == sorted((p, q) for p, q in want if p < cut <= q)

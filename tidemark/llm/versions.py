@@ -40,8 +40,10 @@ SYMBOLS = BLOCKS * PER_BLOCK
 WORDS = SYMBOLS // 64
 #: Fingerprints of a chunk, 408 bytes each; a task holds two chunks. Chunks at least, so that their pairs are tasks enough for a small table.
 CHUNK, LEAST_CHUNKS = 1 << 17, 4
-#: Pairs that share a block whose Hamming distances are taken at once, which bounds the memory of a task.
-PAIRS_AT_ONCE = 1 << 18
+#: Pairs that share a block whose Hamming distances are taken at once: what they need stays in a core's cache.
+PAIRS_AT_ONCE = 1 << 12
+#: Near pairs of a task that are gathered before repeated ones are dropped.
+NEAR_AT_ONCE = 1 << 18
 #: Pairs up to which they are sent to the texts, and not the texts to them: two ids each, 16 MB in all.
 MOST_SENT = 1 << 20
 #: Characters fingerprinted at once, which bounds the memory of a task; a longer text is taken alone.
@@ -129,11 +131,14 @@ def _sorted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each index of ``size`` with each position of its run from ``first``, ``PAIRS_AT_ONCE`` at a time, a longer run in pieces."""
-    ends = np.cumsum(size)
+    some = np.nonzero(size)[0]
+    ends = np.cumsum(size[some])
+    shift = first[some] + size[some] - ends
     for start in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
-        at = np.arange(start, min(start + PAIRS_AT_ONCE, int(ends[-1])))
-        own = np.searchsorted(ends, at, "right")
-        yield own, first[own] + at - (ends[own] - size[own])
+        stop = min(start + PAIRS_AT_ONCE, int(ends[-1]))
+        i, j = np.searchsorted(ends, (start, stop - 1), "right")
+        times = np.diff(np.minimum(ends[i : j + 1], stop), prepend=start)
+        yield np.repeat(some[i : j + 1], times), np.repeat(shift[i : j + 1], times) + np.arange(start, stop)
 
 
 def near_in(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, blocks: Iterable[int], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +147,8 @@ def near_in(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
     A chunk is its block keys, (BLOCKS, texts), and its marks, (texts, 2 * WORDS). Without ``right``, the pairs within ``left``.
     """
     (keys_a, marks_a), (keys_b, marks_b) = left, right or left
-    found, loose = np.empty(0, dtype=np.int64), []
+    n = max(1, len(marks_b))
+    found, loose, count = np.empty(0, dtype=np.int64), [], 0
     for block in blocks:
         key_a, text_a = _sorted_keys(keys_a[block])
         if right is None:
@@ -157,17 +163,21 @@ def near_in(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
             size = np.searchsorted(key_a, key_b[there], "right") - first
         for own, place in _runs(first, size):
             x, y = text_a[place], text_b[own]
-            other = marks_a[x] ^ marks_b[y]
-            differing = np.bitwise_count(other[:, :WORDS] | other[:, WORDS:]).sum(axis=1, dtype=np.int64)
-            near = differing <= most
+            differing = np.zeros(len(x), dtype=np.uint16)
+            other = np.take(marks_a, x, axis=0) ^ np.take(marks_b, y, axis=0)
+            bits = np.bitwise_count(other[:, :WORDS] | other[:, WORDS:])
+            for k in range(WORDS):
+                differing += bits[:, k]
+            near = np.nonzero(differing <= most)[0]
             x, y = x[near], y[near]
             if right is None:
                 x, y = np.minimum(x, y), np.maximum(x, y)
-            loose.append(x * len(marks_b) + y)
-            if sum(map(len, loose)) > max(PAIRS_AT_ONCE, len(found)):
-                found, loose = np.unique(np.concatenate([found, *loose])), []
+            loose.append(x * n + y)
+            count += len(x)
+            if count > max(NEAR_AT_ONCE, len(found)):
+                found, loose, count = np.unique(np.concatenate([found, *loose])), [], 0
     found = np.unique(np.concatenate([found, *loose]))
-    return found // max(1, len(marks_b)), found % max(1, len(marks_b))
+    return found // n, found % n
 
 
 def largest_distance(share: float) -> int:
